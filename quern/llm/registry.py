@@ -6,7 +6,7 @@ from quern.llm import queries_dedup as dedup
 from quern.llm import queries_models as models
 from quern.llm import queries_tokens as tokens
 
-_QUERIES = [tokens.op4_best_fit_packing, models.op7_language_id, dedup.op8_simhash_near_dedup, tokens.op10_token_counts]
+_QUERIES = [tokens.op4_best_fit_packing, models.op7_language_id, dedup.op8_simhash_near_dedup, models.op9_quality_classifier, tokens.op10_token_counts]
 
 
 def queries() -> dict:
