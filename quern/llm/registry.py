@@ -5,8 +5,9 @@ from __future__ import annotations
 from quern.llm import queries_dedup as dedup
 from quern.llm import queries_models as models
 from quern.llm import queries_tokens as tokens
+from quern.llm import queries_web as web
 
-_QUERIES = [tokens.op4_best_fit_packing, models.op7_language_id, dedup.op8_simhash_near_dedup, models.op9_quality_classifier, tokens.op10_token_counts]
+_QUERIES = [web.op3_warc, tokens.op4_best_fit_packing, models.op7_language_id, dedup.op8_simhash_near_dedup, models.op9_quality_classifier, tokens.op10_token_counts]
 
 
 def queries() -> dict:
@@ -14,4 +15,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": web.OP3_SQL}
