@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import common, warc
+from quern.llm import common, html_text, warc
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,3 +22,8 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first <> page_id THEN first END AS refers_to
 FROM f
 """
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.extract_pages(common.table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return texts.withColumn("n_chars", F.char_length("text").cast("bigint"))
