@@ -7,7 +7,7 @@ from quern.llm import queries_models as models
 from quern.llm import queries_tokens as tokens
 from quern.llm import queries_web as web
 
-_QUERIES = [web.op1_html_extraction, web.op3_warc, tokens.op4_best_fit_packing, tokens.op5_byte_level_bpe, models.op7_language_id, dedup.op8_simhash_near_dedup, models.op9_quality_classifier, tokens.op10_token_counts]
+_QUERIES = [web.op1_html_extraction, dedup.op2_fingerprints, web.op3_warc, tokens.op4_best_fit_packing, tokens.op5_byte_level_bpe, models.op7_language_id, dedup.op8_simhash_near_dedup, models.op9_quality_classifier, tokens.op10_token_counts]
 
 
 def queries() -> dict:
