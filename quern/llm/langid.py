@@ -162,20 +162,21 @@ def train(docs: DataFrame, may_learn: Column, max_docs_per_lang: int = 5000, alp
     return Model(langs, np.log(prior / prior.sum()), log_prob)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns in keep, with lang_pred and score, from the whole text alone.
+def predict(docs: DataFrame, model: Model, keep: list[str], out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns in keep, with lang_pred and score (named as out says), from the whole text alone.
 
     score is the posterior probability of lang_pred, at most 1. A text that is null or has no
     letter gets `und` with score 0. Ties go to the language that sorts first. Repeated rows are
     each scored; an empty table gives no rows. The model is broadcast: languages x 128 KiB.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.select(*keep)
+    own = "text" in keep and kept.schema["text"].dataType.typeName() == "string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
+            texts = [t or "" for t in batch.column("text" if own else "_whole_text").to_pylist()]
             has = np.array([_LETTER.search(t) is not None for t in texts], bool)
             score = np.zeros(len(texts))
             best = np.zeros(len(texts), np.int64)
@@ -184,8 +185,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 best[has] = ll.argmax(axis=1)
                 score[has] = 1 / np.exp(ll - ll.max(axis=1, keepdims=True)).sum(axis=1)
             langs = [m.langs[i] if x else UNDETERMINED for i, x in zip(best, has)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(score)], names=[*batch.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(langs, pa.string()), pa.array(score)], names=[*names, *new])
 
-    kept = docs.select(*keep)
-    schema = kept.schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(F.col("text").alias("_whole_text"), *keep).mapInArrow(run, schema)
+    names, new = kept.columns, list(out)
+    schema = docs.select(*keep).schema.add(new[0], "string").add(new[1], "double")
+    sent_columns = kept if own else docs.select(F.col("text").cast("string").alias("_whole_text"), *keep)
+    return sent_columns.mapInArrow(run, schema)

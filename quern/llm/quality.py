@@ -96,19 +96,21 @@ def pool_adjacent(weight: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), t / w) for w, t, n in blocks])
 
 
-def train(stats: DataFrame, labels: DataFrame, may_learn: Column, max_rows: int = 200_000, size: int = 256, gamma: float = 0.03, ridge: float = 3e-4, seed: int = 5) -> Model:
-    """Fits on documents (doc_id, stats) that labels (doc_id, quality) marks, where may_learn holds for doc_id.
+def sample_labels(labels: DataFrame, may_learn: Column, max_rows: int = 200_000) -> DataFrame:
+    """doc_id and _y of the labels (doc_id, quality) that are 0 or 1 and where may_learn holds for doc_id:
+    at most about max_rows, chosen by a hash of doc_id; where there are fewer, all. They are few
+    enough to be broadcast (16 bytes each)."""
+    marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & may_learn).select("doc_id", F.col("quality").cast("double").alias("_y"))
+    count = marked.count()
+    return marked.where(common.share_below(max_rows / max(1, count), F.col("doc_id")))
+
 
-    At most about max_rows labels take part, chosen by a hash of doc_id; where there are fewer, all.
-    They are few enough to be broadcast (16 bytes each). Every task sums its part of the normal
+def train(stats: DataFrame, marked: DataFrame, size: int = 256, gamma: float = 0.03, ridge: float = 3e-4, seed: int = 5) -> Model:
+    """Fits on documents (doc_id, stats) that sample_labels() marks. Every task sums its part of the normal
     equations, for each of FOLDS folds; the sums are added by matrix row. Scores for the calibration
     come from models that have not seen the row's fold; their counts reach the driver in at most
-    3001 steps. Labels other than 0 and 1 and null labels are passed over. With no label of either
-    kind every score is the share of label 1 (0.5 if there is none at all).
+    3001 steps. With no label of either kind every score is the share of label 1 (0.5 if there is none at all).
     """
-    marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & may_learn).select("doc_id", F.col("quality").cast("double").alias("_y"))
-    count = marked.count()
-    marked = marked.where(common.share_below(max_rows / max(1, count), F.col("doc_id")))
     rows = stats.join(F.broadcast(marked), "doc_id").select("stats", "_y", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
     d = len(STATISTICS)
     moments = rows.select(F.count("*"), F.coalesce(F.avg("_y"), F.lit(0.5)), *[F.coalesce(f(F.col("stats")[i]), F.lit(0.0)) for f in (F.avg, F.stddev_pop) for i in range(d)]).first()
@@ -173,3 +175,15 @@ def score(stats: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found)], names=[*batch.schema.names[1:], "score"])
 
     return stats.select(F.col("stats").alias("_stats"), *keep).mapInArrow(run, stats.select(*keep).schema.add("score", "double"))
+
+
+def score_texts(docs: DataFrame, model: Model, out: str) -> DataFrame:
+    """docs with the score of every whole text as column out, in one pass."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.array([statistics(t.as_py() or "") for t in batch.column("text")]).reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.score(rows))], names=[*batch.schema.names, out])
+
+    return docs.mapInArrow(run, docs.select("*").schema.add(out, "double"))

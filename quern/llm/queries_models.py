@@ -16,6 +16,6 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = common.crc_of("doc_id") % 5 == 0
     stats = common.cut(quality.with_statistics(common.table(spark, sf_dir, "documents"), ["doc_id"]), "statistics")
-    model = quality.train(stats, common.table(spark, sf_dir, "labels"), ~held_out)
+    model = quality.train(stats, quality.sample_labels(common.table(spark, sf_dir, "labels"), ~held_out))
     scored = quality.score(stats, model, ["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

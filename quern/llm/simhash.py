@@ -238,6 +238,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
+def _class_roots(marked: DataFrame, reach: int) -> DataFrame:
+    """fp and root of every distinct fingerprint: the smallest fingerprint of its component."""
+    classes = common.cut(marked.select("fp").distinct(), "classes")
+    member = components(link_edges(classes, reach))
+    return classes.join(member, classes.fp == member.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, reach: int = 2, width: int = 3) -> DataFrame:
     """doc_id, fp and component_id of every row: the smallest doc_id among all rows reachable over
     links between fingerprints that differ in at most `reach` bits, itself included.
@@ -248,9 +255,30 @@ def near_duplicates(docs: DataFrame, reach: int = 2, width: int = 3) -> DataFram
     null. Repeated rows each keep their row. An empty table gives no rows.
     """
     marked = common.cut(with_fingerprints(docs, ["doc_id"], width), "fingerprints")
-    classes = common.cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    member = components(link_edges(classes, reach))
-    rooted = classes.join(member, classes.fp == member.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = common.cut(_class_roots(marked, reach), "roots")
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    smallest = rooted.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = rooted.join(smallest, "root").select("fp", "component_id")
     return marked.join(of_class, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, reach: int = 2, width: int = 3) -> DataFrame:
+    """The rows of docs with one of each near-duplicate component: that with the smallest doc_id (null
+    last), of repeated doc_ids that whose text has the smallest hash, and of repeated rows any one.
+
+    Only ids and hashes are grouped; the rows that go are then taken out by an anti join.
+    """
+    key = ["_null", "_id", "_hash"]
+    keyed = docs.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id"), F.lit(0)), "_hash": F.xxhash64("text")})
+    marked = common.cut(with_fingerprints(keyed, key, width), "fingerprints")
+    rooted = _class_roots(marked, reach)
+    rows = marked.groupBy(*key, "fp").agg(F.count("*").alias("n"))
+    placed = common.cut(rows.join(rooted, "fp").select(*key, "n", "root"), "placed")
+    leaders = placed.groupBy("root").agg(F.min(F.struct(*key)).alias("first")).select("root", "first.*")
+    stays = placed.join(leaders.withColumn("_stays", F.lit(True)), ["root", *key], "left")
+    gone = stays.where("_stays IS NULL OR n > 1")
+    kept = keyed.join(gone.select(*key), key, "left_anti")
+    again = common.cut(stays.where("_stays AND n > 1").select(*key), "repeated")
+    if not again.isEmpty():
+        kept = kept.unionByName(keyed.join(again, key, "left_semi").dropDuplicates(key))
+    return kept.drop(*key)

@@ -29,7 +29,7 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     docs = spark.read.parquet(f"{sf}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
     stats = common.cut(quality.with_statistics(docs, ["doc_id"]), "statistics")
-    model = quality.train(stats, labels, ~held_out)
+    model = quality.train(stats, quality.sample_labels(labels, ~held_out))
     rows = quality.score(stats, model, ["doc_id"]).join(labels, "doc_id").where(held_out).select("quality", "score").toPandas()
     assert ((rows.score >= 0.3) == (rows.quality == 1)).mean() > 0.97
     assert rows.score.between(0, 1).all()
@@ -43,7 +43,7 @@ def test_edges(spark):
     assert stats.count() == 5
     labels = spark.createDataFrame([(1, 0, 5), (2, 1, 5), (3, 1, 5), (3, None, 5), (None, 1, 5), (9, 7, 5)], "doc_id bigint, quality int, toxic int")
     for marked in (labels, labels.limit(0), labels.where("quality = 1")):
-        model = quality.train(stats, marked, F.lit(True))
+        model = quality.train(stats, quality.sample_labels(marked, F.lit(True)))
         got = quality.score(stats, model, ["doc_id"]).collect()
         assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert quality.score(stats.limit(0), model, ["doc_id"]).count() == 0
