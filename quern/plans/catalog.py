@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from quern.plans.registry import ORACLES, QUERIES, Query
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
+for _module in ("flagship", "scans", "dml", "projections", "joins", "subqueries", "aggregates", "windows", "sorting", "setops"):
+    importlib.import_module(f"quern.plans.{_module}")
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLES
+    return ORACLES
