@@ -20,3 +20,63 @@ def json_table(df: DataFrame, doc: str, columns: dict[str, tuple[str, str, objec
     if ordinality:
         out[ordinality] = F.col("_pos").cast("bigint") + 1
     return df.withColumns(out).drop("_pos", "_row")
+
+
+def get(doc: Column, *path: str | int) -> Column:
+    """doc -> a -> b (and #>, ->>): the value as text; strings without their quotes."""
+    steps = "".join(f"[{p}]" if isinstance(p, int) else f"['{p}']" for p in path)
+    return F.get_json_object(doc, f"${steps}")
+
+
+def has_key(doc: Column, key: str) -> Column:
+    """doc ? key"""
+    return F.coalesce(F.array_contains(F.json_object_keys(doc), key), F.lit(False))
+
+
+def each(df: DataFrame, doc: str, key: str = "key", value: str = "value") -> DataFrame:
+    """jsonb_each_text: a row per member."""
+    return df.select("*", F.explode(F.from_json(doc, "map<string,string>")).alias(key, value))
+
+
+def elements(df: DataFrame, doc: str, value: str = "value", ordinal: str | None = None) -> DataFrame:
+    """jsonb_array_elements_text: a row per element, with its number from 1 if asked for."""
+    out = df.select("*", F.posexplode(F.from_json(doc, "array<string>")).alias("_pos", value))
+    return (out.withColumn(ordinal, F.col("_pos").cast("bigint") + 1) if ordinal else out).drop("_pos")
+
+
+def is_json(doc: Column, kind: str = "value") -> Column:
+    """doc IS JSON [OBJECT | ARRAY | SCALAR]"""
+    valid = F.try_parse_json(doc).isNotNull()
+    first = F.substring(F.ltrim(doc), 1, 1)
+    return {"value": valid, "object": valid & (first == "{"), "array": valid & (first == "["), "scalar": valid & ~first.isin("{", "[")}[kind]
+
+
+def typeof(doc: Column) -> Column:
+    """jsonb_typeof"""
+    first = F.substring(F.ltrim(doc), 1, 1)
+    return F.when(first == "{", "object").when(first == "[", "array").when(first == '"', "string").when(first.isin("t", "f"), "boolean").when(first == "n", "null").otherwise("number")
+
+
+def canonical(doc: Column) -> Column:
+    """A text that is equal for equal documents: keys in order, no blanks, the last of repeated keys."""
+    return F.to_json(F.try_parse_json(doc))
+
+
+def set_key(doc: Column, key: str, value: Column) -> Column:
+    """doc || {key: value} of a flat object of texts."""
+    return F.to_json(F.map_concat(F.map_filter(F.from_json(doc, "map<string,string>"), lambda k, _: k != key), F.create_map(F.lit(key), value)))
+
+
+def json_value(doc: Column, path: str, kind: str = "string", on_empty=None) -> Column:
+    """JSON_VALUE(doc, path RETURNING kind DEFAULT on_empty ON EMPTY NULL ON ERROR)"""
+    value = F.get_json_object(doc, path).try_cast(kind)
+    return value if on_empty is None else F.coalesce(value, F.lit(on_empty).cast(kind))
+
+
+def json_exists(doc: Column, path: str) -> Column:
+    return F.get_json_object(doc, path).isNotNull()
+
+
+def build_object(**values: Column) -> Column:
+    """json_build_object; nulls are kept."""
+    return F.to_json(F.struct(*[v.alias(k) for k, v in values.items()]), {"ignoreNullFields": "false"})

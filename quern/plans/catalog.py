@@ -6,7 +6,7 @@ import importlib
 
 from quern.plans.registry import ORACLES, QUERIES, Query
 
-for _module in ("flagship", "scans", "dml", "projections", "joins", "subqueries", "aggregates", "windows", "sorting", "setops"):
+for _module in ("flagship", "scans", "dml", "projections", "joins", "subqueries", "aggregates", "windows", "sorting", "setops", "strings", "datetimes", "numbers", "collections", "documents", "misc", "setreturning", "userdefined", "streams"):
     importlib.import_module(f"quern.plans.{_module}")
 
 
