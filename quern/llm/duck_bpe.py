@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import duckdb
 import numpy as np
@@ -89,7 +89,7 @@ class DuckBpe:
         finally:
             self.con.unregister(name)
 
-    def _merge(self, words: list[bytes], sql: str) -> list[np.ndarray]:
+    def _merge(self, words: list[bytes], sql: str) -> list[bytes]:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         raw = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
@@ -97,11 +97,12 @@ class DuckBpe:
         last = pos + 1 == lengths[word]
         npos, ntok = np.where(last, -1, pos + 1).astype(np.int32), np.where(last, -1, np.append(raw[1:], -1)).astype(np.int32)
         out = self._query("positions", pa.table({"word": word, "pos": pos, "tok": raw, "npos": npos, "ntok": ntok}), sql)
-        found, tokens = out["word"].to_numpy(), out["tok"].to_numpy().astype(np.uint32)
-        return np.split(tokens, np.flatnonzero(np.diff(found)) + 1)
+        ends = np.append(np.flatnonzero(np.diff(out["word"].to_numpy())) + 1, out.num_rows) * 4
+        tokens, ends = out["tok"].to_numpy().astype("<u4").tobytes(), ends.tolist()
+        return [tokens[a:b] for a, b in zip([0, *ends], ends)]
 
-    def encode_words(self, words: list[bytes], rows: int = 150_000) -> list[np.ndarray]:
-        """Ids of each word; none is empty. Queries take about `rows` bytes of words at a time."""
+    def encode_words(self, words: list[bytes], rows: int = 150_000) -> list[bytes]:
+        """Ids of each word, as little-endian unsigned 32-bit numbers; no word is empty. Queries take about `rows` bytes of words at a time."""
         out: list = [None] * len(words)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         at = 0
@@ -117,18 +118,18 @@ class DuckBpe:
             at = end
         return out
 
-    def decode_words(self, words: list[np.ndarray], rows: int = 400_000) -> list[bytes]:
+    def decode_words(self, words: list[bytes], rows: int = 400_000) -> list[bytes]:
         """Bytes of each sequence of ids; an id that the vocabulary lacks is an error."""
         out: list[bytes] = []
         at = 0
         while at < len(words):
             end, size = at, 0
-            while end < len(words) and (end == at or size + len(words[end]) <= rows):
+            while end < len(words) and (end == at or size + len(words[end]) <= 4 * rows):
                 size += len(words[end])
                 end += 1
             group = words[at:end]
-            lengths = np.fromiter(map(len, group), np.int64, len(group))
-            ids = np.concatenate(group).astype(np.int64)
+            lengths = np.fromiter(map(len, group), np.int64, len(group)) // 4
+            ids = np.frombuffer(b"".join(group), "<u4").astype(np.int64)
             if ids.size and (ids.max() >= 2**31 or self._query("asked", pa.table({"id": np.unique(ids)}), "SELECT 1 FROM asked ANTI JOIN vocabulary USING (id) LIMIT 1").num_rows):
                 raise ValueError("an id is not in the vocabulary")
             word = np.repeat(np.arange(len(group), dtype=np.int32), lengths)
@@ -144,39 +145,52 @@ class DuckBpe:
 
 class Codec:
     """Texts to ids and back. Chunks of a text (white space and what follows it) are coded once and
-    kept; the kept chunks are bounded and thrown away together when that is reached."""
+    kept, as are the pieces that the pattern splits them into; what is kept is bounded and thrown
+    away together when the bound is reached."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_kept: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_kept: int = 500_000):
         self.duck, self.ranks, self.max_kept = DuckBpe(ranks), ranks, max_kept
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.kept: dict[str, tuple[bytes, bytes]] = {}
+        self.chunk_ids: dict[str, bytes] = {}
+        self.chunk_back: dict[str, bytes] = {}
+        self.piece_ids: dict[str, bytes] = {}
+        self.piece_back: dict[str, bytes] = {}
 
     def code(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text: its ids as little-endian unsigned 32-bit numbers, and the bytes they decode to."""
         chunks = [bpe.CHUNK.findall(t) for t in texts]
-        if len(self.kept) > self.max_kept:
-            self.kept.clear()
-        self._learn({c for own in chunks for c in own if c not in self.kept})
-        out = []
+        if len(self.chunk_ids) > self.max_kept or len(self.piece_ids) > self.max_kept:
+            for kept in (self.chunk_ids, self.chunk_back, self.piece_ids, self.piece_back):
+                kept.clear()
+        new: set[str] = set()
         for own in chunks:
-            pairs = [self.kept[c] for c in own]
-            out.append((b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])))
-        return out
-
-    def _learn(self, chunks: Iterable[str]) -> None:
-        new = list(chunks)
-        if not new:
-            return
-        pieces = [[p.encode("utf-8", "surrogatepass") for p in self.split(c)] for c in new]
-        ids: dict[bytes, np.ndarray] = {}
+            new.update(own)
+        self._learn([c for c in new if c not in self.chunk_ids])
+        ids, back = self.chunk_ids.__getitem__, self.chunk_back.__getitem__
+        return [(b"".join(map(ids, own)), b"".join(map(back, own))) for own in chunks]
+
+    def _learn(self, chunks: list[str]) -> None:
+        ids, back = self.piece_ids, self.piece_back
+        pieces = list(map(self.split, chunks))
+        todo: dict[str, bytes] = {}
+        new: list[str] = []
         for p in {p for own in pieces for p in own}:
-            known = self.ranks.get(p)
-            ids[p] = None if known is None else np.array([known], np.uint32)
-        todo = [p for p, known in ids.items() if known is None]
-        ids.update(zip(todo, self.duck.encode_words(todo)))
-        coded = [np.concatenate([ids[p] for p in own]) if len(own) != 1 else ids[own[0]] for own in pieces]
-        for chunk, own, back in zip(new, coded, self.duck.decode_words(coded)):
-            self.kept[chunk] = own.astype("<u4").tobytes(), back
+            if p not in ids:
+                raw = p.encode("utf-8", "surrogatepass")
+                rank = self.ranks.get(raw)
+                if rank is None:
+                    todo[p] = raw
+                else:
+                    ids[p] = rank.to_bytes(4, "little")
+                new.append(p)
+        ids.update(zip(todo, self.duck.encode_words(list(todo.values()))))
+        back.update(zip(new, self.duck.decode_words([ids[p] for p in new])))
+        for chunk, own in zip(chunks, pieces):
+            if len(own) == 1:
+                self.chunk_ids[chunk], self.chunk_back[chunk] = ids[own[0]], back[own[0]]
+            else:
+                self.chunk_ids[chunk] = b"".join([ids[p] for p in own])
+                self.chunk_back[chunk] = b"".join([back[p] for p in own])
 
 
 _CODECS: dict[tuple, Codec] = {}
