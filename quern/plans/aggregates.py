@@ -22,7 +22,7 @@ portable("agg_bool", "SELECT l_returnflag, bool_and(l_quantity > 0) AS a, bool_o
 portable("agg_bit", "SELECT c_nationkey, bit_and(c_custkey) AS a, bit_or(c_custkey) AS o, bit_xor(c_custkey) AS x FROM {customer} GROUP BY c_nationkey")
 portable("agg_any_value", "SELECT n_regionkey, any_value(n_regionkey + 1) AS v FROM {nation} GROUP BY n_regionkey")
 portable("agg_variance", "SELECT l_returnflag, round(var_pop(l_quantity), 6) AS vp, round(var_samp(l_quantity), 6) AS vs, round(stddev_pop(l_quantity), 6) AS sp, round(stddev(l_quantity), 6) AS ss FROM {lineitem} GROUP BY l_returnflag")
-portable("agg_regression", "SELECT l_linenumber, round(corr(l_extendedprice, l_quantity), 6) AS c, round(covar_pop(l_extendedprice, l_quantity), 3) AS cp, round(covar_samp(l_extendedprice, l_quantity), 3) AS cs, round(regr_slope(l_extendedprice, l_quantity), 5) AS sl, round(regr_intercept(l_extendedprice, l_quantity), 4) AS ic, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, regr_count(l_extendedprice, l_quantity) AS n, round(regr_avgx(l_extendedprice, l_quantity), 5) AS ax, round(regr_sxx(l_extendedprice, l_quantity), 2) AS sxx FROM {lineitem} GROUP BY l_linenumber")
+portable("agg_regression", "SELECT l_linenumber, round(corr(l_extendedprice, l_quantity), 6) AS c, round(covar_pop(l_extendedprice, l_quantity), 3) AS cp, round(covar_samp(l_extendedprice, l_quantity), 3) AS cs, round(regr_slope(l_extendedprice, l_quantity), 5) AS sl, round(regr_intercept(l_extendedprice, l_quantity), 4) AS ic, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n, round(regr_avgx(l_extendedprice, l_quantity), 5) AS ax, round(regr_sxx(l_extendedprice, l_quantity), 2) AS sxx FROM {lineitem} GROUP BY l_linenumber")
 portable("agg_distinct_several", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS a, count(DISTINCT l_partkey) AS b, CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS c FROM {lineitem} GROUP BY l_returnflag")
 portable("agg_filter", "SELECT l_suppkey, count(*) FILTER (WHERE l_discount > 0.05) AS n, CAST(sum(l_quantity) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) AS q FROM {lineitem} GROUP BY l_suppkey")
 portable("agg_percentile_cont", "SELECT l_linenumber, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY l_extendedprice), 4) AS p50, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY l_extendedprice), 4) AS p90 FROM {lineitem} GROUP BY l_linenumber")

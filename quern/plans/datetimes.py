@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import datetimes as d
 from quern.plans.registry import Tables, portable, query
 
-portable("dt_trunc_group", "SELECT date_trunc('month', o_orderdate) AS m, count(*) AS n FROM {orders} GROUP BY date_trunc('month', o_orderdate)")
+portable("dt_trunc_group", "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ) AS m, count(*) AS n FROM {orders} GROUP BY date_trunc('month', o_orderdate)", "SELECT date_trunc('month', o_orderdate) AS m, count(*) AS n FROM {orders} GROUP BY 1")
 portable("dt_interval_arithmetic", "SELECT o_orderkey, o_orderdate + INTERVAL '1' MONTH AS a, o_orderdate - INTERVAL '36' HOUR AS b FROM {orders} WHERE o_orderkey < 500")
 portable("dt_make_date", "SELECT o_orderkey, make_date(CAST(extract(year FROM o_orderdate) AS INT), 2, 1) AS d FROM {orders} WHERE o_orderkey < 500")
 portable("dt_month_clamp", "SELECT DATE '2024-01-31' + INTERVAL '1' MONTH AS a", "SELECT CAST(DATE '2024-01-31' + INTERVAL '1' MONTH AS DATE) AS a")

@@ -53,7 +53,7 @@ SELECT c_custkey, c_name, CAST(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1
 FROM {customer} JOIN {orders} ON c_custkey = o_custkey JOIN {lineitem} ON l_orderkey = o_orderkey JOIN {nation} ON c_nationkey = n_nationkey
 WHERE l_returnflag = 'R' GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""")
 portable("tpch_q14_promo_effect", """
-SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2))) ELSE 0 END) / sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))), 6) AS promo
+SELECT round(CAST(100 AS DOUBLE) * CAST(sum(CASE WHEN p_type LIKE 'PROMO%' THEN CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2))) ELSE 0 END) AS DOUBLE) / CAST(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))) AS DOUBLE), 6) AS promo
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""")
 portable("tpch_q18_large_orders", """
 SELECT c_name, c_custkey, o_orderkey, o_totalprice, CAST(sum(l_quantity) AS DOUBLE) AS qty

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import numbers as m
 from quern.plans.registry import Tables, portable, query
 
-portable("num_abs_sign_floor", "SELECT c_custkey, abs(c_acctbal) AS a, sign(c_acctbal) AS s, CAST(floor(c_acctbal) AS BIGINT) AS f, CAST(ceil(c_acctbal) AS BIGINT) AS c FROM {customer}")
+portable("num_abs_sign_floor", "SELECT c_custkey, abs(c_acctbal) AS a, CAST(sign(c_acctbal) AS INT) AS s, CAST(floor(c_acctbal) AS BIGINT) AS f, CAST(ceil(c_acctbal) AS BIGINT) AS c FROM {customer}")
 portable("num_power_roots", "SELECT p_partkey, round(sqrt(p_size), 8) AS r, round(power(p_size, 1.5), 6) AS p, round(exp(p_size / 50.0), 8) AS e, round(ln(p_size), 8) AS l FROM {part}")
 portable("num_mod_bits", "SELECT c_custkey, c_custkey % 7 AS m, (0 - c_custkey) % 7 AS nm, c_custkey & 12 AS a, c_custkey | 3 AS o FROM {customer}")
 portable("num_trig", "SELECT p_size, round(sin(p_size), 10) AS s, round(cos(p_size), 10) AS c, round(atan2(p_size, 3), 10) AS a, round(degrees(p_size), 8) AS d FROM (SELECT DISTINCT p_size FROM {part}) q")

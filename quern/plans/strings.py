@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from quern.functions import strings as s
 from quern.plans.registry import Tables, portable, query
 
-portable("str_length_case", "SELECT p_partkey, length(p_name) AS n, octet_length(p_name) AS b, upper(p_name) AS u, lower(p_type) AS l FROM {part} WHERE p_partkey < 100", "SELECT p_partkey, length(p_name) AS n, octet_length(encode(p_name)) AS b, upper(p_name) AS u, lower(p_type) AS l FROM {part} WHERE p_partkey < 100")
-portable("str_substring_position", "SELECT p_partkey, substring(p_name, 3, 4) AS s, position('a' IN p_name) AS p, replace(p_brand, '#', '-') AS r FROM {part} WHERE p_partkey < 100", "SELECT p_partkey, substring(p_name, 3, 4) AS s, strpos(p_name, 'a') AS p, replace(p_brand, '#', '-') AS r FROM {part} WHERE p_partkey < 100")
+portable("str_length_case", "SELECT p_partkey, CAST(length(p_name) AS BIGINT) AS n, CAST(octet_length(p_name) AS BIGINT) AS b, upper(p_name) AS u, lower(p_type) AS l FROM {part} WHERE p_partkey < 100", "SELECT p_partkey, length(p_name) AS n, octet_length(encode(p_name)) AS b, upper(p_name) AS u, lower(p_type) AS l FROM {part} WHERE p_partkey < 100")
+portable("str_substring_position", "SELECT p_partkey, substring(p_name, 3, 4) AS s, CAST(position('a' IN p_name) AS BIGINT) AS p, replace(p_brand, '#', '-') AS r FROM {part} WHERE p_partkey < 100", "SELECT p_partkey, substring(p_name, 3, 4) AS s, strpos(p_name, 'a') AS p, replace(p_brand, '#', '-') AS r FROM {part} WHERE p_partkey < 100")
 portable("str_trim_pad", "SELECT n_nationkey, trim(BOTH 'N' FROM n_name) AS t, lpad(n_name, 12, '*') AS l, rpad(n_name, 12, '-') AS r, repeat(n_name, 2) AS p, reverse(n_name) AS v FROM {nation}", "SELECT n_nationkey, trim(n_name, 'N') AS t, lpad(n_name, 12, '*') AS l, rpad(n_name, 12, '-') AS r, repeat(n_name, 2) AS p, reverse(n_name) AS v FROM {nation}")
 portable("str_translate_md5", "SELECT n_nationkey, translate(n_name, 'AEIOU', 'aeio') AS t, md5(n_name) AS m, n_name || '/' || n_regionkey AS c FROM {nation}")
 portable("str_starts_ends", "SELECT p_partkey FROM {part} WHERE startswith(p_brand, 'Brand#1') AND endswith(p_brand, '2')", "SELECT p_partkey FROM {part} WHERE starts_with(p_brand, 'Brand#1') AND ends_with(p_brand, '2')")
-portable("str_levenshtein", "SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name) AS d FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+portable("str_levenshtein", "SELECT a.n_name AS a, b.n_name AS b, CAST(levenshtein(a.n_name, b.n_name) AS BIGINT) AS d FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 portable("str_sha256", "SELECT r_regionkey, sha2(r_name, 256) AS h FROM {region}", "SELECT r_regionkey, sha256(r_name) AS h FROM {region}")
 portable("str_concat_ws", "SELECT n_nationkey, concat_ws('-', n_name, NULL, 'x') AS c FROM {nation}")
 
@@ -65,7 +65,7 @@ def str_initcap(t: Tables):
     return t.spark.createDataFrame([("hello wORLD-foo",), ("a1b 2cd",), ("",)], "w string").select("w", s.initcap(F.col("w")).alias("i"))
 
 
-@query("SELECT a, b, x FROM (VALUES ('word', 'two words', 0.363636), ('abc', 'abc', 1.0), ('abc', 'xyz', 0.0)) v(a, b, x)")
+@query("SELECT a, b, CAST(x AS DOUBLE) AS x FROM (VALUES ('word', 'two words', 0.363636), ('abc', 'abc', 1.0), ('abc', 'xyz', 0.0)) v(a, b, x)")
 def str_trigram_similarity(t: Tables):
     rows = t.spark.createDataFrame([("word", "two words"), ("abc", "abc"), ("abc", "xyz")], "a string, b string")
     return rows.select("a", "b", F.round(s.similarity(F.col("a"), F.col("b")), 6).alias("x"))

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from quern.operators import windows as w
 from quern.plans.registry import Tables, portable, query
 
-portable("win_row_number", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM {orders}")
-portable("win_rank_dense_rank", "SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)")
+portable("win_row_number", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS rn FROM {orders}")
+portable("win_rank_dense_rank", "SELECT o_orderkey, CAST(rank() OVER w AS BIGINT) AS r, CAST(dense_rank() OVER w AS BIGINT) AS d FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)")
 portable("win_percent_rank_cume_dist", "SELECT p_partkey, round(percent_rank() OVER w, 8) AS pr, round(cume_dist() OVER w, 8) AS cd FROM {part} WINDOW w AS (PARTITION BY p_brand ORDER BY p_size)")
-portable("win_ntile", "SELECT c_custkey, ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS q FROM {customer}")
+portable("win_ntile", "SELECT c_custkey, CAST(ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS BIGINT) AS q FROM {customer}")
 portable("win_lag_lead", "SELECT o_orderkey, lag(o_totalprice) OVER w AS a, lead(o_totalprice, 2, -1.0) OVER w AS b FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
 portable("win_first_last_nth", "SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l, nth_value(o_orderkey, 3) OVER w AS n FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
 portable("win_aggregate_running", "SELECT l_orderkey, l_linenumber, CAST(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS DOUBLE) AS s, count(*) OVER (PARTITION BY l_orderkey) AS n FROM {lineitem}")
@@ -21,7 +21,7 @@ portable("win_frame_range_numeric", "SELECT p_partkey, count(*) OVER (PARTITION
 portable("win_frame_range_interval", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL '90' DAY PRECEDING AND CURRENT ROW) AS n FROM {orders}")
 portable("win_frame_unbounded_following", "SELECT l_orderkey, l_linenumber, min(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_shipdate ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS d FROM {lineitem}")
 portable("win_peers_default_frame", "SELECT c_custkey, count(*) OVER (ORDER BY c_nationkey) AS n FROM {customer}")
-portable("win_over_aggregate", "SELECT c_nationkey, count(*) AS n, rank() OVER (ORDER BY count(*) DESC, c_nationkey) AS r FROM {customer} GROUP BY c_nationkey")
+portable("win_over_aggregate", "SELECT c_nationkey, count(*) AS n, CAST(rank() OVER (ORDER BY count(*) DESC, c_nationkey) AS BIGINT) AS r FROM {customer} GROUP BY c_nationkey")
 
 
 @query("SELECT p_partkey, CAST(count(*) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS n, CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s FROM part")
