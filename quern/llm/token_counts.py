@@ -78,8 +78,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, pattern: str, cache_path: str)
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(digests), pa.string()), pa.array(digests, pa.string()), pa.array(counts, pa.int64())], names=["version", "digest", "n_tokens"])
 
     misses.repartition("digest").mapInArrow(encode, CACHE).write.mode("append").parquet(cache_path)
-    # Two calls at a time may both append a digest: their counts are equal.
-    counts = _stored(spark, cache_path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Two calls at a time may both append a digest: their counts are equal. Grouped by both columns, the
+    # counts are dealt anew for the join, whose shuffles Spark may split where one digest has many rows.
+    counts = _stored(spark, cache_path).where(F.col("version") == version).groupBy("version", "digest").agg(F.max("n_tokens").alias("n_tokens")).drop("version")
     return keyed.drop("_text").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
