@@ -41,3 +41,10 @@ def number_rows(df: DataFrame, name: str, order: list[str], start: int = 1, chun
 def nextval(df: DataFrame, name: str, start: int = 1) -> DataFrame:
     """Sequence values that are distinct and ascend within a task, with gaps: no shuffle."""
     return df.withColumn(name, F.monotonically_increasing_id() + start)
+
+
+def period_conflicts(df: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
+    """Rows that break PRIMARY KEY (keys, period WITHOUT OVERLAPS): a half-open period [low, high) that
+    starts before an earlier one of the same keys has ended."""
+    before = Window.partitionBy(*keys).orderBy(low, high).rowsBetween(Window.unboundedPreceding, -1)
+    return df.where(F.col(low) < F.col(high)).withColumn("_ended", F.max(high).over(before)).where(F.col("_ended") > F.col(low)).drop("_ended")

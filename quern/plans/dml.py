@@ -136,3 +136,9 @@ def dml_prepared_statement(t: Tables):
 
 
 portable("dml_select_for_update", "SELECT o_orderkey, o_orderstatus FROM {orders} WHERE o_orderkey < 40")
+
+
+@query("SELECT k, lo FROM (VALUES (1, 4)) v(k, lo)")
+def dml_without_overlaps(t: Tables):
+    rows = t.spark.createDataFrame([(1, 1, 5), (1, 4, 6), (1, 6, 9), (2, 1, 9)], "k int, lo int, hi int")
+    return checks.period_conflicts(rows, ["k"], "lo", "hi").select("k", "lo")

@@ -80,3 +80,24 @@ def xml_xpath(t: Tables):
     doc = x.element("r", x.element("a", F.col("n_name")), x.element("a", F.lit("k")))
     rows = t.nation.select("n_nationkey", doc.alias("d"))
     return rows.select("n_nationkey", F.xpath("d", F.lit("/r/a/text()")).alias("v"), x.exists(F.col("d"), "/r/a[2]").alias("e"))
+
+
+@query("SELECT id, c FROM (VALUES (1, true), (2, false), (3, false)) v(id, c)")
+def json_contains(t: Tables):
+    from quern.functions.documents import jsonb_contains
+
+    return _docs(t).where("id < 4").select("id", jsonb_contains("d", F.lit('{"b": {"c": [20]}}')).alias("c"))
+
+
+@query("SELECT id, v FROM (VALUES (1, ['20']), (2, []::VARCHAR[]), (3, []::VARCHAR[])) v(id, v)")
+def json_path_query_filter(t: Tables):
+    from quern.functions.documents import jsonb_path_query_array
+
+    return _docs(t).where("id < 4").select("id", jsonb_path_query_array("$.b.c[*] ? (@ > 15)")("d").alias("v"))
+
+
+@query("SELECT n, p FROM (VALUES ('Sch.\"My Tab\".col', ['sch', 'My Tab', 'col']), ('1bad', NULL)) v(n, p)")
+def str_parse_ident(t: Tables):
+    from quern.functions.documents import parse_ident
+
+    return t.spark.createDataFrame([('Sch."My Tab".col',), ("1bad",)], "n string").select("n", parse_ident("n").alias("p"))

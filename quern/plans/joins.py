@@ -67,3 +67,11 @@ def join_bpchar_keys(t: Tables):
 @query("SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def join_sort_merge(t: Tables):
     return t.orders.hint("merge").join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, CAST(count(*) AS BIGINT) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_totalprice > 150000 GROUP BY 1")
+def join_partition_wise(t: Tables):
+    """Both sides dealt by the key once; the join and the group reuse that dealing."""
+    a = t.orders.where("o_totalprice > 150000").select(F.col("o_orderkey").alias("k")).repartition("k")
+    b = t.lineitem.select(F.col("l_orderkey").alias("k")).repartition("k")
+    return a.hint("merge").join(b, "k").groupBy(F.col("k").alias("o_orderkey")).agg(F.count("*").alias("n"))

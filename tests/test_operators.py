@@ -123,3 +123,41 @@ def test_scans(spark):
     n = scans.sample_bernoulli(spark.range(10_000), 10, 1, "id").count()
     assert 800 < n < 1200 and scans.sample_rows(spark.range(50), 99, 1, "id").count() == 50
     assert [r.i for r in scans.generate_series(spark, 5, 1, -2).orderBy("i").collect()] == [1, 3, 5] and scans.generate_series(spark, 1, 0).count() == 0
+
+
+def test_ivf_recall_and_documents(spark):
+    from quern.functions.documents import jsonb_pretty, path_query
+    from quern.operators import vectors
+
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding")
+    c = vectors.centres(df, "embedding", 12)
+    index = vectors.assign(df, "embedding", c).cache()
+    hits = 0
+    rows_ = df.where("vec_id < 10").collect()
+    for r in rows_:
+        exact = {x.vec_id for x in vectors.search(index, "embedding", c, r.embedding, 10, 12).collect()}
+        hits += len(exact & {x.vec_id for x in vectors.search(index, "embedding", c, r.embedding, 10, 8).collect()})
+    assert hits >= 0.8 * 10 * len(rows_)
+    assert path_query({"a": [{"k": 1}, {"k": 7}, {"k": "x"}]}, "$.a[*] ? (@.k >= 2).k") == [7] and path_query([1, 2], "$[-1]") == [2]
+    with pytest.raises(ValueError):
+        path_query({}, "a.b")
+    got = spark.createDataFrame([('{"bb":1,"a":[]}',), ("no",), (None,)], "d string").select(jsonb_pretty("d").alias("x")).collect()
+    assert [r.x for r in got] == ['{\n    "a": [],\n    "bb": 1\n}', None, None]
+
+
+def test_cursor_explain_and_buckets(spark):
+    from quern.operators import session
+
+    cursor = session.Cursor(spark.range(10).orderBy("id"))
+    assert [r.id for r in cursor.fetch(3)] == [0, 1, 2] and cursor.move(4) == 4 and [r.id for r in cursor.fetch(9)] == [7, 8, 9] and cursor.fetch() == []
+    plan = session.explain(spark.read.parquet("/root/testdata/sf0.001/orders.parquet").where("o_orderkey > 5").select("o_custkey"))
+    assert "PushedFilters: [IsNotNull(o_orderkey), GreaterThan(o_orderkey,5)]" in plan and "o_totalprice" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_jdbc_source_pushes_down(spark, tmp_path):
+    from quern.sources import files
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.range(100).selectExpr("id AS k", "id % 3 AS g").write.format("jdbc").option("url", url).option("dbtable", "T").option("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    got = files.remote_query(spark, url, 'SELECT "g", count(*) AS "n" FROM T GROUP BY "g"', driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 34), (1, 33), (2, 33)]
