@@ -30,6 +30,8 @@ SIDE_WORDS = frozenset(
     "pagination pager toolbar topbar outbrain taboola copyright disclaimer".split()
 )
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form toolbar".split())
+SIDE_ARTICLE = frozenset("comment comments reply replies ad advert promo sponsored related".split())
+SIDE_PARTS = frozenset("reader user item entry box list thread wrapper block post".split())
 MAIN_WORDS = frozenset("article content main post entry story body text".split())
 
 _TAG = re.compile(
@@ -61,6 +63,12 @@ def _is_side(name: str) -> bool:
     return words[0] in SIDE_WORDS or words[-1] in SIDE_WORDS
 
 
+def _is_side_article(name: str) -> bool:
+    """Comments and teasers are often articles too; only a plain name says so, as articles carry many classes."""
+    words = {w.lower() for w in _WORD.findall(name)}
+    return bool(words & SIDE_ARTICLE) and words <= SIDE_ARTICLE | SIDE_PARTS
+
+
 def _judge(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
     """Whether an element with these attributes is to be left out, and whether it is a main element."""
     if tag in NEVER or tag == "header" and not in_main:
@@ -76,7 +84,7 @@ def _judge(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
             if value.lower() in SIDE_ROLES:
                 return True, False
             main = main or value.lower() in ("main", "article")
-        elif key in ("class", "id") and tag not in ("html", "body", "main", "article") and any(map(_is_side, value.split())):
+        elif key in ("class", "id") and tag not in ("html", "body", "main") and any(map(_is_side_article if tag == "article" else _is_side, value.split())):
             return True, False
     return False, main
 

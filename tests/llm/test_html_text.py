@@ -41,6 +41,8 @@ T = "A sentence of the article, with commas, and enough length to count as one."
         (f"<article>{P}</article><article>{P}</article>", f"{T} {T}"),
         (f"<ARTICLE CLASS=x>{P}<P STYLE='display:none'>h</P><p hidden>h</p><template><p>h</p></template></ARTICLE>", T),
         ("<article><table><tr><td>a<td>b<tr><td>c</table><pre>x\n  y</pre></article>", "a b c x y"),
+        (f"<article class='post with-comments comment-enabled'>{P}</article><article class='comment'>{P}</article><article class='reader-comment'>{P}</article>", T),
+        (f"<div class='entry-header'><h1>Head</h1></div><div class='story'>{P}{P}</div><div class='share'><p>Share, share</p></div>", f"{T} {T}"),
         ("<p>open <a href='un\"closed>x</a> end", "open x end"),
     ],
 )
