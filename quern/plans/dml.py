@@ -94,7 +94,7 @@ def dml_create_table_as(t: Tables):
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal < 0")
 def dml_copy_round_trip(t: Tables):
     rows = t.customer.where("c_acctbal < 0").select("c_custkey", "c_name", "c_acctbal")
-    path = f"{files.shared_folder(t.spark)}/copy-{abs(hash(t.sf_dir))}-{t.spark.sparkContext.applicationId}-{id(rows)}"
+    path = files.new_path(t.spark, "copy")
     files.copy_to(rows, path, "text")
     return files.copy_from(t.spark, path, rows.schema, "text")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -20,9 +21,29 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_OPENED: set[str] = set()
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may have ended before the interpreter
+        return
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; all that this application put there goes when it ends."""
+    top = f"{shared_folder(spark)}/quern-stage-{spark.sparkContext.applicationId}"
+    if top not in _OPENED:
+        _OPENED.add(top)
+        atexit.register(_drop, spark, top)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, kind: str, partition_by: list[str] | None = None, **options: str) -> str:
     """Writes df to a new path of the shared folder and returns the path."""
-    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, "stage")
     writer = df.write.format(kind).options(**options)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
     return path
