@@ -262,11 +262,12 @@ def near_duplicates(docs: DataFrame, reach: int = 2, width: int = 3) -> DataFram
     return marked.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, reach: int = 2, width: int = 3) -> DataFrame:
+def representatives(docs: DataFrame, reach: int = 2, width: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
     """The rows of docs with one of each near-duplicate component: that with the smallest doc_id (null
     last), of repeated doc_ids that whose text has the smallest hash, and of repeated rows any one.
 
-    Only ids and hashes are grouped; the rows that go are then taken out by an anti join.
+    Only ids and hashes are grouped; the rows that go are then taken out by an anti join. Where at most
+    broadcast_rows keys go, they are broadcast and texts stay where they are.
     """
     key = ["_null", "_id", "_hash"]
     keyed = docs.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id"), F.lit(0)), "_hash": F.xxhash64("text")})
@@ -277,7 +278,10 @@ def representatives(docs: DataFrame, reach: int = 2, width: int = 3) -> DataFram
     leaders = placed.groupBy("root").agg(F.min(F.struct(*key)).alias("first")).select("root", "first.*")
     stays = placed.join(leaders.withColumn("_stays", F.lit(True)), ["root", *key], "left")
     gone = stays.where("_stays IS NULL OR n > 1")
-    kept = keyed.join(gone.select(*key), key, "left_anti")
+    gone = common.cut(gone.select(*key), "gone")
+    # Counted keys of 17 bytes are broadcast up to 4 MB or so; more are met by shuffling, without a sort of the texts.
+    few = gone.count() <= broadcast_rows
+    kept = keyed.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), key, "left_anti")
     again = common.cut(stays.where("_stays AND n > 1").select(*key), "repeated")
     if not again.isEmpty():
         kept = kept.unionByName(keyed.join(again, key, "left_semi").dropDuplicates(key))

@@ -53,6 +53,7 @@ def test_representatives_edges(spark):
     docs = spark.createDataFrame([(*r, "x", 1, 1) for r in rows], schema)
     got = sorted((r.doc_id or -1, r.text or "") for r in simhash.representatives(docs).collect())
     assert got == [(-1, "lonely row without id"), (3, "Same words in HERE"), (5, "another text with the same id"), (8, "")]
+    assert sorted((r.doc_id or -1, r.text or "") for r in simhash.representatives(docs, broadcast_rows=0).collect()) == got
     twice = docs.where("doc_id = 5 AND text LIKE 'same%'")
     assert twice.count() == 2 and simhash.representatives(twice).count() == 1
     assert simhash.representatives(docs.limit(0)).columns == docs.columns
