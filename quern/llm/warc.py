@@ -203,7 +203,9 @@ def assemble(records: DataFrame) -> DataFrame:
     # them; both joins are told to shuffle and sort, and adaptive execution splits a hot key.
     whole = answers.join(parts.hint("merge"), "record_id", "left").withColumn("page_id", F.try_element_at("metadata", F.lit(1))["page_id"])
     stored = whole.where(F.col("record.type") == "response").select(F.col("record_id").alias("_id"), F.col("page_id").alias("_page"), F.col("record.payload_bytes").alias("_bytes"), F.col("record.payload_digest").alias("_digest"))
-    joined = whole.join(stored.hint("merge"), F.col("record.refers_to") == F.col("_id"), "left")
+    # What refers to nothing gets a key of its own that no record has, so these rows are spread.
+    refers = F.coalesce("record.refers_to", F.concat(F.lit("nothing, from "), "record_id"))
+    joined = whole.withColumn("_refers", refers).join(stored.hint("merge"), F.col("_refers") == F.col("_id"), "left")
     return joined.select(
         "page_id", "target_uri", "record", F.coalesce("request", F.array()).alias("request"), F.coalesce("metadata", F.array()).alias("metadata"),
         F.coalesce("record.payload_bytes", "_bytes", "record.declared_bytes").alias("payload_bytes"),
