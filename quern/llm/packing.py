@@ -91,19 +91,22 @@ def pieces(docs: DataFrame, tokenizer: str, groups: int, size: int, end_id: int
     """Tokens of each whole text with end_id after them, cut into pieces of at most size tokens.
 
     A null text is empty and gives one piece that is the end id alone. Each document goes to one of
-    `groups` groups by a hash of its id and place, so copies and repeated ids spread evenly.
+    `groups` groups by a hash of its id, its tokens and how many such rows the task has seen: copies
+    and repeated rows spread evenly, and a task that runs again deals the same, whatever the rows' order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, row, part = bpe.word_end(tokenizer), 0, TaskContext.get().partitionId()
+        encoder, part = bpe.word_end(tokenizer), TaskContext.get().partitionId()
+        seen: dict[tuple, int] = {}
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []
             ids = batch.column(0).to_pylist()
             for doc_id, text in zip(ids, batch.column(1)):
                 tokens = encoder.encode(text.as_py() or "") + end
-                grp = zlib.crc32(b"%d:%d:%d" % (doc_id or 0, part, row)) % groups
-                row += 1
+                key = (doc_id, zlib.crc32(tokens))
+                nth = seen[key] = seen.get(key, -1) + 1
+                grp = zlib.crc32(b"%d:%d:%d:%d" % (doc_id or 0, key[1], part, nth) if nth else b"%d:%d" % (doc_id or 0, key[1])) % groups
                 for k, at in enumerate(range(0, len(tokens), 4 * size)):
                     cut = tokens[at : at + 4 * size]
                     out.append((doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut), grp))
