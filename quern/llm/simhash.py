@@ -90,7 +90,8 @@ def build(sample: np.ndarray, depth: int, seed: int = 7) -> tuple[object, int]:
 
 
 def route(tree, fps: np.ndarray, reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each leaf: its number, the rows at home there, and the visitors from other leaves.
+    """For each leaf: its number, the rows at home there, and the visitors from other leaves. A leaf with
+    visitors alone is yielded too: rows at home there can lie in other batches.
 
     Two fingerprints within `reach` of each other meet in the home leaf of at least one of them:
     at a node, a row d from the point can only have a partner whose distance is within d +- reach
@@ -100,7 +101,7 @@ def route(tree, fps: np.ndarray, reach: int) -> Iterator[tuple[int, np.ndarray,
 
     def walk(node, home: np.ndarray, guest: np.ndarray):
         if not isinstance(node, Node):
-            if home.size:
+            if home.size or guest.size:
                 yield node, home, guest
             return
         point = np.uint64(node.point)
@@ -194,6 +195,8 @@ def link_edges(fps: DataFrame, reach: int = 2, rows_per_shard: int = 20_000, sam
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
         points, home = group["fp"].to_numpy(np.int64).view(np.uint64), group["home"].to_numpy(bool)
+        if not home.any():  # visitors alone meet in their home leaves
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         a, b = links(np.sort(points[home]), np.sort(points[~home]), reach)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 

@@ -90,6 +90,42 @@ def test_link_edges_over_shards(spark):
             assert not members & got.keys()
 
 
+def test_visitors_meet_rows_of_other_batches(spark):
+    fps = clustered(1200, 13)
+    tree, shards = simhash.build(fps[::2], 6)
+    want = brute([int(f) for f in fps])
+    at = {int(f): i for i, f in enumerate(fps)}
+    for rows in (1, 2, 3):
+        leaves = {}
+        for start in range(0, len(fps), rows):
+            batch = fps[start : start + rows]
+            for leaf, home, guest in simhash.route(tree, batch, 2):
+                own, others = leaves.setdefault(leaf, ([], []))
+                own.append(batch[home])
+                others.append(batch[guest])
+        met = set()
+        for own, others in leaves.values():
+            own = np.concatenate(own)
+            every = np.concatenate([own, *others])
+            a, b = np.nonzero(np.bitwise_count(own[:, None] ^ every[None, :]) <= 2)
+            met |= {(min(at[int(x)], at[int(y)]), max(at[int(x)], at[int(y)])) for x, y in zip(own[a], every[b]) if x != y}
+        assert shards > 16 and met == set(zip(*np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2, 1))))
+
+    df = spark.createDataFrame([(f,) for f in fps.view(np.int64).tolist()], "fp bigint")
+    batch_rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = {r.node: r.root for r in simhash.components(simhash.link_edges(df, rows_per_shard=20)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+    groups = {}
+    for f, w in zip(fps.view(np.int64).tolist(), want):
+        groups.setdefault(w, set()).add(f)
+    assert all({got.get(m, m) for m in members} == {min(members)} for members in groups.values())
+    empty = np.zeros(0, np.uint64)
+    assert [x.size for x in simhash.links(empty, fps, 2)] == [0, 0]
+
+
 def test_near_duplicates_on_the_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = sorted(docs.select("doc_id", "text").collect())
