@@ -2,11 +2,14 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import datetimes, numbers, predicates, ranges, strings
 from quern.operators import aggregates, checks, dml, joins, recursive, scans, sorting, windows
+from quern.plans import catalog
+from quern.session import table
 
 
 def rows(df):
@@ -161,3 +164,11 @@ def test_jdbc_source_pushes_down(spark, tmp_path):
     spark.range(100).selectExpr("id AS k", "id % 3 AS g").write.format("jdbc").option("url", url).option("dbtable", "T").option("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
     got = files.remote_query(spark, url, 'SELECT "g", count(*) AS "n" FROM T GROUP BY "g"', driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
     assert sorted(tuple(r) for r in got.collect()) == [(0, 34), (1, 33), (2, 33)]
+
+
+def test_metaphone_covers_the_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    names = {r.p_partkey: r.p_name for r in table(spark, sf, "part").collect()}
+    got = {r.p_partkey: r.m for r in catalog.queries()["str_metaphone"](spark, sf).collect()}
+    keys = strings.metaphone_key.func(pd.Series(names))
+    assert len(names) > 50 and got == keys.to_dict()
