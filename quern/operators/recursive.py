@@ -7,11 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.sources import files
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    return df.sparkSession.read.schema(df.schema).parquet(files.stage(df, "parquet"))
+from quern.sources.files import cut as _cut
 
 
 def union_distinct(base: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = 10_000) -> DataFrame:

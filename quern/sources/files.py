@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,12 +12,19 @@ from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where it is set; in a local session without it, a folder of this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        if not spark.sparkContext.master.startswith("local"):
+    """The folder that driver and executors share: spark.checkpoint.dir, read from the session.
+
+    Only where it is unset and the master is of this machine alone (tests), a new folder here is taken;
+    it goes when the interpreter ends.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quern-")
+        folder = tempfile.mkdtemp(prefix="quern-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -34,13 +42,21 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; all that this application put there goes when it ends."""
-    top = f"{shared_folder(spark)}/quern-stage-{spark.sparkContext.applicationId}"
+    top = f"{shared_folder(spark)}/quern-{spark.sparkContext.applicationId}"
     if top not in _OPENED:
         _OPENED.add(top)
         atexit.register(_drop, spark, top)
     return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it back: lineage ends here,
+    work is not repeated, and a lost executor costs nothing that was written."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stage(df: DataFrame, kind: str, partition_by: list[str] | None = None, **options: str) -> str:
     """Writes df to a new path of the shared folder and returns the path."""
     path = new_path(df.sparkSession, "stage")
