@@ -1,61 +1,27 @@
-"""What the operators share: the shared folder, lineage cuts and bounded sampling."""
+"""What the operators share: the core's shared folder and lineage cuts, free column names, bounded sampling."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import table
+from quern.sources.files import cut, shared_folder
+from quern.sources.files import new_path as scratch_path
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table; projection and filters reach the Parquet scan."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, read from the session.
-
-    Only where it is unset (local tests) a folder of this machine is chosen.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-_OPENED: set[str] = set()
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may have ended before the interpreter
-        return
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; the whole folder of this application goes when it ends."""
-    top = f"{shared_dir(spark)}/quern-{spark.sparkContext.applicationId}"
-    if top not in _OPENED:
-        _OPENED.add(top)
-        atexit.register(_drop, spark, top)
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+__all__ = ["crc_of", "cut", "free_names", "scratch_path", "share_below", "shared_folder", "table", "text_or_empty"]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: lineage ends here,
-    work is not repeated, and a lost executor costs nothing that was written."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted that no column of df has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def crc_of(col: str) -> Column:
