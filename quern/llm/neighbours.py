@@ -2,37 +2,71 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of the table of ranges that is broadcast, at most: 24 bytes each.
-MOST_RANGES = 200_000
+from quern.llm import common
 
+#: Ranges at most, whose bounds (some 80 bytes each) are part of the plan. Beyond MOST_RANGES x rows_per_range rows
+#: the ranges grow with the table: 10^10 rows would give 500,000 in each, which a task sorts with spilling.
+MOST_RANGES = 20_000
+_PER_RANGE = 16
+_TIE_BYTES = 32
 
-def with_next(rows: DataFrame, key: str, tie: list[Column], carry: dict[str, str], rows_per_range: int = 2000) -> tuple[DataFrame, Window]:
+
+def _descending(text: str) -> Column:
+    """A string that falls where the text rises, from its first bytes: texts that start alike have the same."""
+    start = F.hex(F.substring(F.col(text).cast("binary"), 1, _TIE_BYTES))
+    return F.rpad(F.translate(start, "0123456789ABCDEF", "FEDCBA9876543210"), 2 * _TIE_BYTES, "G")
+
+
+def _bounds(rows: DataFrame, pair: Column, ranges: int, n: int) -> Column:
+    """The ranges' lower bounds, an array of pairs in ascending order, nulls first: quantiles of a sample
+    of about 16 rows a range, chosen by a hash. A key that many rows share is cut into several ranges by its tie."""
+    sample = rows.select(pair.alias("p")).where(common.share_below(_PER_RANGE * ranges / max(1, n), F.col("p"))).select("p.*")
+    found = sorted((k is not None, k or 0, t) for k, t in zip(*(c.to_pylist() for c in sample.toArrow().columns)))
+    pairs = sorted({found[i] for i in np.linspace(0, len(found) - 1, ranges + 1).round().astype(int)[1:-1]}) if found else []
+    if not pairs:
+        return F.array().cast("array<struct<k:bigint,t:string>>")
+    keys = F.split(F.lit(",".join(str(k) if known else "" for known, k, _ in pairs)), ",")
+    ties = F.split(F.lit(",".join(t for _, _, t in pairs)), ",")
+    return F.zip_with(keys, ties, lambda k, t: F.struct(F.when(k != "", k).cast("bigint").alias("k"), t.alias("t")))
+
+
+def _range_of(bounds: Column, pair: Column, ranges: int) -> Column:
+    """How many bounds are not above the pair: a binary search."""
+    steps = [1 << b for b in reversed(range(max(1, ranges).bit_length() + 1))]
+    size = F.size(bounds)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= size) & (F.get(bounds, at + step - 1) <= pair), at + step).otherwise(at))
+
+
+def with_next(rows: DataFrame, key: str, tie: str, carry: dict[str, str], rows_per_range: int = 2000) -> tuple[DataFrame, Window]:
     """rows with the columns in carry (new name: column) of the row that follows by descending key, and
     after the last row those of the first; and the window, for more columns of the same neighbour.
 
-    Rows are dealt by ranges of the key. The first row of each range also goes, as a ghost, to the
-    range before it, and the very first to the last range. Call drop_ghosts() at the end. A key that
-    is null comes last; equal keys are ordered by tie. One row is its own neighbour.
+    key is a bigint column; a key that is null comes last. tie is a text column without nulls: equal keys are
+    ordered by it, ascending. Rows are dealt by ranges of the key and of the text's first 32 bytes, whose bounds come from a
+    sample, so neither uneven keys nor one key for a third of the rows leave most rows to one task; only
+    rows of one key whose texts start alike stay together. The first rows of each range also go, as ghosts, to the
+    range before it, and the very first to the last range. Call drop_ghosts() at the end. One row is its
+    own neighbour; an empty table gives no rows.
     """
-    stats = rows.agg(F.count("*"), F.min(key), F.max(key)).first()
-    n, low, high = stats[0], stats[1] or 0, stats[2] or 0
+    n = rows.count()
     ranges = max(1, min(MOST_RANGES, n // rows_per_range))
-    place = F.floor((F.col(key).cast("double") - low) / float(high - low + 1) * ranges)
-    dealt = rows.withColumn("_range", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.least(place, F.lit(ranges - 1))).cast("int"))
-    # Null keys have the range -1, whose first row is any of them by tie.
-    heads = dealt.groupBy("_range").agg(F.max(key).alias("_head"))
+    pair = F.struct(F.col(key).alias("k"), _descending(tie).alias("t"))
+    place = _range_of(_bounds(rows, pair, ranges, n), pair, ranges) if ranges > 1 else F.lit(0)
+    dealt = rows.withColumn("_range", place.cast("int"))
+    heads = dealt.groupBy("_range").agg(F.max(pair).alias("_head"))
     by_range = Window.orderBy(F.col("_range").desc())
     whole = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # At most MOST_RANGES rows meet here, whatever the size of the table.
     heads = heads.select("_range", "_head", F.coalesce(F.lag("_range").over(by_range), F.min("_range").over(whole)).alias("_to"))
     meet = F.broadcast(heads.select(F.col("_range").alias("_from"), "_head", "_to"))
-    ghosts = dealt.join(meet, (F.col("_range") == F.col("_from")) & F.col(key).eqNullSafe(F.col("_head")))
+    ghosts = dealt.join(meet, (F.col("_range") == F.col("_from")) & F.col(key).eqNullSafe(F.col("_head.k")) & (_descending(tie) == F.col("_head.t")))
     ghosts = ghosts.select(*[c for c in dealt.columns if c != "_range"], F.col("_to").alias("_range"), F.lit(True).alias("_ghost"))
     both = dealt.select(*[c for c in dealt.columns if c != "_range"], "_range", F.lit(False).alias("_ghost")).unionByName(ghosts)
-    window = Window.partitionBy("_range").orderBy(F.col("_ghost"), F.col(key).desc_nulls_last(), *tie)
+    window = Window.partitionBy("_range").orderBy(F.col("_ghost"), F.col(key).desc_nulls_last(), F.col(tie))
     return both.select("*", *[F.lead(c).over(window).alias(new) for new, c in carry.items()]), window
 
 

@@ -14,10 +14,12 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 
     The edited text has the last half of the code points (rounded down) replaced by the first as many
     of the next document, or by all of it if it is shorter. Rows with one doc_id are ordered by text;
-    a null doc_id comes last. Texts are shuffled once, by ranges of doc_id.
+    a null doc_id comes last. A single row is its own next document, an empty table gives no rows,
+    long texts are taken whole, and columns other than doc_id and text are left aside, whatever their names.
+    Texts are shuffled once, by ranges of doc_id and text.
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), common.text_or_empty().cast("string").alias("text"))
-    paired, window = neighbours.with_next(rows, "doc_id", [F.col("text")], {"_next": "text"})
+    paired, window = neighbours.with_next(rows, "doc_id", "text", {"_next": "text"})
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), half))

@@ -75,3 +75,21 @@ def test_merged_groups_equal_the_sketch_of_the_whole(spark):
     parts = hashes.groupBy("g", "part").agg(fp.sketch(F.collect_set("h")).alias("sketch"))
     want = {r.g: r.s for r in hashes.groupBy("g").agg(fp.sketch(F.collect_set("h")).alias("s")).collect()}
     assert {r.g: r.sketch for r in fp.merge_groups(parts, ["g"]).collect()} == want
+
+
+def test_uneven_and_repeated_ids_are_split(spark, monkeypatch):
+    from quern.llm import neighbours
+
+    def most(docs):
+        rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text"))
+        paired, _ = neighbours.with_next(rows, "doc_id", "text", {"_next": "text"}, 100)
+        return max(r["count"] for r in paired.groupBy("_range").count().collect())
+
+    uneven = spark.range(4000).select(F.when(F.col("id") == 0, 10**15).otherwise(F.col("id")).alias("doc_id"), F.md5(F.col("id").cast("string")).alias("text"))
+    hot = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).alias("doc_id"), F.md5(F.col("id").cast("string")).alias("text"))
+    assert most(uneven) < 400 and most(hot) < 400
+    for docs in (uneven, hot):
+        want = plain([(r.doc_id, r.text) for r in docs.collect()])
+        monkeypatch.setattr(neighbours.with_next, "__defaults__", (100,))
+        got = edited_pairs(docs).select("doc_id", "edited_sha256").collect()
+        assert sorted((r.doc_id or -1, r.edited_sha256) for r in got) == sorted((d or -1, hashlib.sha256(e.encode()).hexdigest()) for d, _, e, _ in want)
