@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +20,7 @@ ORDERS = (1, 2, 3)
 #: Code points that are scored at a time; longer texts are cut with an overlap, so no n-gram is lost.
 SEGMENT = 400_000
 _BLOCK = 1024
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
@@ -114,17 +114,18 @@ def counts(texts: list[str]) -> np.ndarray:
     return out[:BUCKETS]
 
 
-def train(docs: DataFrame, may_learn: Column, max_docs_per_lang: int = 5000, alpha: float = 0.1, max_langs: int = 2000) -> Model:
+def train(docs: DataFrame, may_learn: Column, max_docs_per_lang: int = 5000, alpha: float = 0.1, max_langs: int = 500) -> Model:
     """Learns from text and lang of rows where may_learn holds and neither is null.
 
     At most about max_docs_per_lang whole texts of each language are taken, by a hash of doc_id
     and text; where there are fewer, all. Counts are summed in each task, then by language and
-    block of buckets, so the driver gets max_langs x BUCKETS numbers at most; more languages are an error.
+    block of buckets, so the driver gets max_langs x BUCKETS numbers at most. Of more languages the
+    max_langs that most rows have are learned (of equally frequent ones, those that sort first).
+    Repeated rows count each; an empty table, or one without a row to learn from, gives a model of `und` alone.
     """
-    known = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(max_langs + 1).collect()}
-    if len(sizes) > max_langs:
-        raise ValueError(f"more than {max_langs} languages; raise max_langs")
+    known = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("lang", F.col("lang").cast("string"))
+    most = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    sizes = {r["lang"]: r["n"] for r in most.collect()}
     if not sizes:
         return Model([UNDETERMINED], np.zeros(1), np.zeros((BUCKETS + 1, 1), np.float32))
     share = {lang: max_docs_per_lang / n for lang, n in sizes.items() if n > max_docs_per_lang}
@@ -149,7 +150,8 @@ def train(docs: DataFrame, may_learn: Column, max_docs_per_lang: int = 5000, alp
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "block": [group["block"].iloc[0]], "n": [np.sum(group["n"].to_list(), axis=0)]})
 
     kind = "lang string, block int, n array<bigint>"
-    rows = known.select(F.col("lang").cast("string"), "text").mapInArrow(partial, kind).groupBy("lang", "block").applyInPandas(add, kind).collect()
+    learned = F.broadcast(known.sparkSession.createDataFrame([(x,) for x in sizes], "lang string"))
+    rows = known.join(learned, "lang", "left_semi").select("lang", F.col("text").cast("string")).mapInArrow(partial, kind).groupBy("lang", "block").applyInPandas(add, kind).collect()
     langs = sorted(sizes)
     column = {lang: i for i, lang in enumerate(langs)}
     table = np.zeros((BUCKETS, len(langs)))
@@ -167,16 +169,18 @@ def predict(docs: DataFrame, model: Model, keep: list[str], out: tuple[str, str]
 
     score is the posterior probability of lang_pred, at most 1. A text that is null or has no
     letter gets `und` with score 0. Ties go to the language that sorts first. Repeated rows are
-    each scored; an empty table gives no rows. The model is broadcast: languages x 128 KiB.
+    each scored; an empty table gives no rows. A long text is scored whole, SEGMENT code points at a
+    time. Columns in keep may have any names but those in out. The model is broadcast: languages x 128 KiB.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*keep)
     own = "text" in keep and kept.schema["text"].dataType.typeName() == "string"
+    whole = "text" if own else common.free_names(kept, "_whole_text")[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
         for batch in batches:
-            texts = [t or "" for t in batch.column("text" if own else "_whole_text").to_pylist()]
+            texts = [t or "" for t in batch.column(whole).to_pylist()]
             has = np.array([_LETTER.search(t) is not None for t in texts], bool)
             score = np.zeros(len(texts))
             best = np.zeros(len(texts), np.int64)
@@ -189,5 +193,5 @@ def predict(docs: DataFrame, model: Model, keep: list[str], out: tuple[str, str]
 
     names, new = kept.columns, list(out)
     schema = docs.select(*keep).schema.add(new[0], "string").add(new[1], "double")
-    sent_columns = kept if own else docs.select(F.col("text").cast("string").alias("_whole_text"), *keep)
+    sent_columns = kept if own else docs.select(F.col("text").cast("string").alias(whole), *keep)
     return sent_columns.mapInArrow(run, schema)

@@ -41,3 +41,54 @@ def test_edges(spark):
     assert nothing.langs == ["und"] and langid.predict(empty, nothing, ["doc_id"]).count() == 0
     one = langid.train(docs, F.lit(True), max_docs_per_lang=1)
     assert one.langs == ["en", "fr"]
+
+
+def test_against_a_plain_loop(spark):
+    """Naive Bayes from the definition: a loop over every n-gram of every text, with Python numbers."""
+    from math import exp, log
+
+    rows = [(i, t, x, "", 0) for i, (t, x) in enumerate([("the cat sat", "en"), ("The dog, the end", "en"), ("le chat noir", "fr"), ("un chien", "fr"), ("der hund", "de"), ("the", "en")])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+
+    def bucket(gram):
+        h = 0x9E3779B1 * len(gram) & 0xFFFFFFFF
+        for c in gram:
+            h = (h ^ ord(c)) * 0x01000193 & 0xFFFFFFFF
+            h ^= h >> 15
+        return (h * 0x85EBCA6B & 0xFFFFFFFF) >> 17
+
+    def buckets(text):
+        text = f" {text.lower()} "
+        return [bucket(text[i : i + n]) for n in (1, 2, 3) for i in range(len(text) - n + 1)]
+
+    seen, sizes = {}, {}
+    for _, t, x, _, _ in rows:
+        sizes[x] = sizes.get(x, 0) + 1
+        for b in buckets(t):
+            seen.setdefault(x, {})[b] = seen.setdefault(x, {}).get(b, 0) + 1
+
+    def plain(text):
+        total = {}
+        for x in sizes:
+            every = sum(seen[x].values()) + 0.1 * langid.BUCKETS
+            total[x] = log(sizes[x] / len(rows)) + sum(log((seen[x].get(b, 0) + 0.1) / every) for b in buckets(text))
+        best = max(sorted(total), key=total.get)
+        return best, 1 / sum(exp(v - total[best]) for v in total.values())
+
+    asked = ["the chat", "CHIEN noir", "hund und cat", "x", "é", "le the der", "dog " * 50]
+    df = spark.createDataFrame([(i, t, None, "", 0) for i, t in enumerate(asked)], SCHEMA)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, langid.train(docs, F.lit(True)), ["doc_id"]).collect()}
+    for i, t in enumerate(asked):
+        lang, score = plain(t)
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-4
+
+
+def test_letters_and_many_languages(spark):
+    rows = [(1, "½ ² ①", "en", "", 0), (2, "Ⅷ ٣ 〇", "en", "", 0), (3, "ª", "en", "", 0), (4, "the cat", "en", "", 0), (5, "le chat", "fr", "", 0), (6, "the dog", "en", "", 0), (7, "zz", "zz", "", 0), (8, "le", "fr", "", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = langid.train(docs, F.col("doc_id") > 3, max_langs=2)
+    assert model.langs == ["en", "fr"]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model, ["doc_id"]).collect()}
+    assert got[1] == got[2] == "und" and got[3] != "und" and got[4] == "en"
+    clash = docs.withColumnRenamed("score", "_whole_text")
+    assert langid.predict(clash, model, ["doc_id", "_whole_text"]).columns == ["doc_id", "_whole_text", "lang_pred", "score"]
