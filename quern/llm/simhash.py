@@ -45,14 +45,16 @@ def _bit_sums(hashes: np.ndarray) -> np.ndarray:
 
 
 def with_fingerprints(docs: DataFrame, keep: list[str], width: int = 3) -> DataFrame:
-    """The columns in keep and fp, the fingerprint as a signed 64-bit number, of every whole text."""
+    """The columns in keep and fp, the fingerprint as a signed 64-bit number, of every whole text. Columns
+    in keep may have any names but fp."""
+    mine = common.free_names(docs.select(*keep), "_whole_text")[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(0)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found.view(np.int64))], names=[*batch.schema.names[1:], "fp"])
 
-    return docs.select(F.col("text").cast("string").alias("_whole_text"), *keep).mapInArrow(run, docs.select(*keep).schema.add("fp", "long"))
+    return docs.select(F.col("text").cast("string").alias(mine), *keep).mapInArrow(run, docs.select(*keep).schema.add("fp", "long"))
 
 
 # --- vantage-point trees -------------------------------------------------------------------
@@ -67,17 +69,39 @@ class Node:
         self.point, self.radius, self.inside, self.outside = point, radius, inside, outside
 
 
-def build(sample: np.ndarray, depth: int, seed: int = 7) -> tuple[object, int]:
-    """A vantage-point tree of at most `depth` levels over a sample; leaves are shard numbers."""
+def build(sample: np.ndarray, depth: int, seed: int = 7, reach: int = 2) -> tuple[object, int]:
+    """A vantage-point tree of at most `depth` levels over a sample; leaves are shard numbers.
+
+    At each node several points of the sample are tried, each with the radii around its median distance,
+    and the pair is taken that has the fewest sampled rows in the band where a partner can lie on the other
+    side, for the evenness of the split: those rows are the visitors that a shard has to hold.
+    """
     rng = np.random.default_rng(seed)
     count = 0
 
+    def choose(points: np.ndarray) -> tuple[np.uint64, int] | None:
+        best, least = None, np.inf
+        tried = points if len(points) <= 4096 else points[rng.integers(len(points), size=4096)]
+        for point in points[rng.integers(len(points), size=12)]:
+            at = np.bincount(np.bitwise_count(tried ^ point), minlength=65)
+            below = at.cumsum()
+            for radius in range(64):
+                share = below[radius] / len(tried)
+                if not 0.25 <= share <= 0.75:
+                    continue
+                band = at[max(0, radius - reach + 1) : radius + reach + 1].sum() / len(tried)
+                cost = (band + 0.02) / (share * (1 - share))
+                if cost < least:
+                    best, least = (point, radius), cost
+        return best
+
     def grow(points: np.ndarray, left: int):
         nonlocal count
         if left and len(points) >= 8:
-            point = points[rng.integers(len(points))]
+            point, radius = choose(points) or (points[rng.integers(len(points))], None)
             d = np.bitwise_count(points ^ point)
-            radius = int(np.median(d))
+            if radius is None:  # no even split for any point tried
+                radius = int(np.median(d))
             near = d <= radius
             if near.all():  # ties at the median: split below it
                 radius, near = radius - 1, d <= radius - 1
@@ -174,15 +198,21 @@ def _close(points: np.ndarray, own: np.ndarray, other: np.ndarray, reach: int, b
             yield rows[a], cols[b]
 
 
-def link_edges(fps: DataFrame, reach: int = 2, rows_per_shard: int = 20_000, sample_rows: int = 50_000) -> DataFrame:
+def link_edges(fps: DataFrame, reach: int = 2, rows_per_shard: int = 20_000, rows_per_leaf: int = 32, sample_rows: int = 4_000_000) -> DataFrame:
     """Edges (a, b) between distinct fingerprints in column fp whose components are those of all
-    links within `reach` bits. The tree over the shards is built on at most about sample_rows
-    fingerprints; every fingerprint is indexed and searched."""
+    links within `reach` bits. Every fingerprint is indexed and searched.
+
+    The tree over the shards is built on a sample, chosen by a hash: rows_per_leaf fingerprints for each
+    shard, 50,000 at least and about sample_rows (32 MB) at most. Up to some 2 * 10^9 distinct
+    fingerprints a shard has about rows_per_shard at home; beyond, shards grow with the rows (10^12
+    would give 8 million in each, 64 MB), and each shard has a tree of its own inside links() in any case.
+    """
     spark = fps.sparkSession
     n = fps.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n) / rows_per_shard))))
-    sample = np.array([r.fp for r in fps.where(common.share_below(sample_rows / max(1, n), F.col("fp"))).collect()], np.int64).view(np.uint64)
-    tree, shards = build(np.sort(sample), depth)
+    wanted = min(sample_rows, max(50_000, rows_per_leaf << depth))
+    sample = fps.select("fp").where(common.share_below(wanted / max(1, n), F.col("fp"))).toArrow()["fp"].to_numpy().view(np.uint64)
+    tree, _ = build(np.sort(sample), depth, reach=reach)
     sent = spark.sparkContext.broadcast(tree)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,23 +299,25 @@ def representatives(docs: DataFrame, reach: int = 2, width: int = 3, broadcast_r
     """The rows of docs with one of each near-duplicate component: that with the smallest doc_id (null
     last), of repeated doc_ids that whose text has the smallest hash, and of repeated rows any one.
 
-    Only ids and hashes are grouped; the rows that go are then taken out by an anti join. Where at most
+    Null and empty texts have fingerprint 0 and are near duplicates of each other; long texts are taken
+    whole; an empty table gives no rows; other columns may have any names. Only ids and hashes are grouped; the rows that go are then taken out by an anti join. Where at most
     broadcast_rows keys go, they are broadcast and texts stay where they are.
     """
-    key = ["_null", "_id", "_hash"]
-    keyed = docs.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id"), F.lit(0)), "_hash": F.xxhash64("text")})
+    key = common.free_names(docs, "_null", "_id", "_hash")
+    keyed = docs.withColumns(dict(zip(key, (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id"), F.lit(0)), F.xxhash64("text")))))
+    # From here to `gone` and `again` rows have the key's columns and those added here, none of docs.
     marked = common.cut(with_fingerprints(keyed, key, width), "fingerprints")
     rooted = _class_roots(marked, reach)
     rows = marked.groupBy(*key, "fp").agg(F.count("*").alias("n"))
     placed = common.cut(rows.join(rooted, "fp").select(*key, "n", "root"), "placed")
     leaders = placed.groupBy("root").agg(F.min(F.struct(*key)).alias("first")).select("root", "first.*")
-    stays = placed.join(leaders.withColumn("_stays", F.lit(True)), ["root", *key], "left")
-    gone = stays.where("_stays IS NULL OR n > 1")
+    stays = placed.join(leaders.withColumn("stays", F.lit(True)), ["root", *key], "left")
+    gone = stays.where("stays IS NULL OR n > 1")
     gone = common.cut(gone.select(*key), "gone")
     # Counted keys of 17 bytes are broadcast up to 4 MB or so; more are met by shuffling, without a sort of the texts.
     few = gone.count() <= broadcast_rows
     kept = keyed.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), key, "left_anti")
-    again = common.cut(stays.where("_stays AND n > 1").select(*key), "repeated")
+    again = common.cut(stays.where("stays AND n > 1").select(*key), "repeated")
     if not again.isEmpty():
         kept = kept.unionByName(keyed.join(again, key, "left_semi").dropDuplicates(key))
     return kept.drop(*key)
