@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,10 @@ PACKED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 class Capacities:
     """What one sequence holds at most. attention is the sum of squared piece lengths.
 
-    weights: of the tokens, documents and attention left over, each as a share of its capacity.
+    With the defaults only tokens bind: a piece has at least one token, so no sequence holds more than 2048
+    pieces, and squared lengths sum to at most the square of their sum. A document cap below tokens, or
+    an attention cap below tokens squared, binds. weights: of the tokens, documents and attention left
+    over, each as a share of its capacity.
     rule: "norm" takes the bin with the least weighted norm of what is left after the piece;
     "dot" the one with the largest weighted dot product of the piece and what is left before it.
     """
@@ -93,20 +97,22 @@ def pieces(docs: DataFrame, tokenizer: str, groups: int, size: int, end_id: int
     A null text is empty and gives one piece that is the end id alone. Each document goes to one of
     `groups` groups by a hash of its id, its tokens and how many such rows the task has seen: copies
     and repeated rows spread evenly, and a task that runs again deals the same, whatever the rows' order.
+    A task keeps a number for each distinct row of its part of the table (some 100 bytes), never a text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = bpe.word_end(tokenizer), TaskContext.get().partitionId()
-        seen: dict[tuple, int] = {}
+        seen: dict[int, int] = {}
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []
             ids = batch.column(0).to_pylist()
             for doc_id, text in zip(ids, batch.column(1)):
                 tokens = encoder.encode(text.as_py() or "") + end
-                key = (doc_id, zlib.crc32(tokens))
-                nth = seen[key] = seen.get(key, -1) + 1
-                grp = zlib.crc32(b"%d:%d:%d:%d" % (doc_id or 0, key[1], part, nth) if nth else b"%d:%d" % (doc_id or 0, key[1])) % groups
+                key = b"%d:%d" % (doc_id or 0, zlib.crc32(tokens))
+                own = xxhash.xxh64_intdigest(key)
+                nth = seen[own] = seen.get(own, -1) + 1
+                grp = zlib.crc32(b"%s:%d:%d" % (key, part, nth) if nth else key) % groups
                 for k, at in enumerate(range(0, len(tokens), 4 * size)):
                     cut = tokens[at : at + 4 * size]
                     out.append((doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut), grp))
@@ -125,7 +131,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, caps: Capacities = Capacitie
     and each group is packed by itself, so a task's memory does not grow with the corpus; that
     costs at most about one part-filled sequence a group. A document cap under 1 or an attention
     cap under tokens squared also bounds the pieces' size.
-    Null text: one piece with the end id. Repeated rows: each is packed. Empty table: no rows.
+    Null text: one piece with the end id. A very long text is encoded whole and gives as many pieces as it
+    needs, all in one group. Equal lengths are packed in the order they come in. Repeated rows: each is packed. Empty table: no rows.
     """
     size = min(caps.tokens, int(caps.attention**0.5))
     groups = max(1, -(-docs.count() // group_docs))

@@ -117,3 +117,64 @@ def test_count_tokens_uses_the_cache(spark, tmp_path, byte):
     assert token_counts.count_tokens(more, *args).count() == len(rows) + 1
     assert spark.read.parquet(path).count() == stored + 1
     assert token_counts.count_tokens(docs.limit(0), *args).count() == 0
+
+
+def test_long_runs_of_white_space(byte):
+    count = token_counts.counter(P.path("byte_bpe_50k.json"), P.PATTERN)
+    for text in ("a" + " " * 2_000_000 + "b c", "\n" * 1_000_000, "x" + "\t" * 200_000 + "\ny<|endoftext|>" + " " * 600_000 + "<|endoftext|> z", "　" * 150_000 + " é 12"):
+        assert count(text) == len(byte.encode(text, add_special_tokens=False).ids)
+
+
+def test_the_query_reads_the_cache_of_earlier_calls(spark, byte, monkeypatch):
+    from quern.llm import common
+    from quern.llm.queries_tokens import op10_token_counts
+
+    sf = "/root/testdata/sf0.001"
+    want = {r.doc_id: len(byte.encode(r.text, add_special_tokens=False).ids) for r in common.table(spark, sf, "documents").collect()}
+    assert {r.doc_id: r.n_tokens for r in op10_token_counts(spark, sf).collect()} == want
+    cache = token_counts.shared_cache(spark, P.path("byte_bpe_50k.json"), P.PATTERN)
+    stored = spark.read.parquet(cache).count()
+    assert {r.doc_id: r.n_tokens for r in op10_token_counts(spark, sf).collect()} == want
+    assert spark.read.parquet(cache).count() == stored
+    # What the cache says is taken: a count put there for a new text is what the query's operator returns.
+    docs = spark.createDataFrame([(1, "a text that no table holds")], "doc_id bigint, text string")
+    version = token_counts.version_digest(P.path("byte_bpe_50k.json"), P.PATTERN)
+    digest = docs.selectExpr("sha2(text, 256) AS d").first().d
+    spark.createDataFrame([(version, digest, 77)], token_counts.CACHE).write.parquet(f"{cache}/call=by-hand")
+    got = token_counts.count_tokens(docs, P.path("byte_bpe_50k.json"), P.PATTERN, cache).collect()
+    assert [r.n_tokens for r in got] == [77]
+
+
+def fewest(lengths, limit):
+    """The least number of bins of these lengths, by trying every way."""
+    best = len(lengths)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best and i < len(lengths):
+            return
+        if i == len(lengths):
+            best = min(best, len(bins))
+            return
+        for k in range(len(bins)):
+            if bins[k][0] + lengths[i] <= limit.tokens and bins[k][1] < limit.documents and bins[k][2] + lengths[i] ** 2 <= limit.attention:
+                place(i + 1, [*bins[:k], (bins[k][0] + lengths[i], bins[k][1] + 1, bins[k][2] + lengths[i] ** 2), *bins[k + 1 :]])
+        place(i + 1, [*bins, (lengths[i], 1, lengths[i] ** 2)])
+
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("caps", [(20, 20, 400), (20, 3, 400), (20, 20, 220)])
+def test_pack_against_every_way_of_packing(rule, caps):
+    rng = np.random.default_rng(caps[1] + caps[2])
+    over = 0
+    for _ in range(40):
+        lengths = rng.integers(1, 14, 8)
+        limit = packing.Capacities(*caps, rule=rule)
+        n = packing.pack(lengths, limit)[2]
+        least = fewest(sorted(lengths.tolist(), reverse=True), limit)
+        assert least <= n <= least + 1
+        over += n > least
+    assert over <= 8
