@@ -64,3 +64,16 @@ def test_stages_take_an_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = common.cut(stage(spark, docs, SF), name)
         assert docs.count() == 0
+
+
+def test_stages_with_clashing_names(spark):
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    names = ["_id", "_HASH", "_null", "_quality", "_lang_pred", "_lang_score", "_whole_text", "_stats", "fp", "n", "root", "stays"]
+    plain = common.cut(docs, "plain")
+    odd = common.cut(docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)]), "odd")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, odd = common.cut(stage(spark, plain, SF), name), common.cut(stage(spark, odd, SF), name)
+        assert odd.columns == [*docs.columns, *names] and plain.count() > 0
+        assert odd.select(docs.columns).exceptAll(plain).count() == 0 and plain.exceptAll(odd.select(docs.columns)).count() == 0
+        assert odd.select(*[F.max(c) for c in names]).first() == tuple(range(len(names)))
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).count() == corpus_pipeline.STAGES[-1][1](spark, plain, SF).count()
