@@ -62,3 +62,53 @@ def test_edges(spark):
     got = html_text.extract_pages(spark.createDataFrame(rows, schema), ["page_id", "url"]).collect()
     assert sorted(r.text for r in got) == ["", "", "x"]
     assert html_text.extract_pages(spark.createDataFrame([], schema), ["page_id"]).count() == 0
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        (f"<article>{P}<p class='notice-board'>The board met.</p><p class='form-of-art'>A form.</p><p>Some <span class='header-text'>words</span> here.</p>{P}</article>", f"{T} The board met. A form. Some words here. {T}"),
+        (f"<article>{P}{P}</article><article><h2>Other</h2><p>Read more…</p></article>", f"{T} {T}"),
+        (f"<main><article>{P}{P}{P}</article><article><h2>Other</h2><p>Read more…</p></article></main>", f"{T} {T} {T}"),
+        (f"<main><article>{P}</article><article>{P}</article></main>", f"{T} {T}"),
+        (f"<article>{P}<div class='notice'><p>We use cookies, and more, and more.</p></div><div class='reader-comments'>{P * 9}</div><div class='ad-slot-2'>Buy, buy</div>{P}</article>", f"{T} {T}"),
+        (f"<div class='sidebar-layout'><div>{P}{P}</div></div><div class='sidebar'>{P}</div>", f"{T} {T}"),
+        (f"<div id='ad'><div>{P * 3}</div></div>", f"{T} {T} {T}"),
+        (f"<div class='page'><div class='x1'>{P}{P}</div><div class='x2'>{P}{P}</div><div class='x3'><a href='#'>one, two, three, four</a></div></div>", f"{T} {T} {T} {T}"),
+        (f"<table><tr><td><a href=x>menu, menu</a></td><td>{P}{P}</td></tr></table>", f"{T} {T}"),
+        ("<article><div class='ad'><p>only this</p></div></article>", ""),
+        (f"<article><span class='ad'>Buy</span>{P}<div class='header'><h2>Sub</h2></div>{P}</article>", f"{T} Sub {T}"),
+    ],
+)
+def test_names_discount_and_scores_decide(html, want):
+    assert extract(html) == want
+
+
+def plain_scores(nodes):
+    """Points of every paragraph carried up one ancestor at a time."""
+    score = {id(n): 0.0 for n in nodes}
+    for n in nodes:
+        share, up = 1.0, n
+        while up is not None:
+            score[id(up)] += n.own * share
+            share *= up.factor * (1 if up.tag in html_text.PARAGRAPHS else 0.5)
+            up = up.parent
+    return score
+
+
+def test_points_against_a_walk_up_from_every_paragraph(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    for html in [*pages, f"<div><div class='notice-x'><section>{P}<ul><li>a, b<li>c</ul></section>{P}</div><td>{P}</div>"]:
+        nodes = html_text._walk(html_text.tree(html))
+        html_text._give_points(nodes)
+        want = plain_scores(nodes)
+        assert all(abs(n.score - want[id(n)]) < 1e-9 for n in nodes) and any(n.score for n in nodes)
+
+
+@pytest.mark.parametrize("page", ['<a href="x' * 200_000, "<div>" * 5000 + "</p>" * 400_000, "<p><table>" + "<div>" * 5000 + "</p>" * 400_000, "<b hidden>" * 5000 + "</i>" * 400_000])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    extract(page)
+    assert time.process_time() - began < 6
