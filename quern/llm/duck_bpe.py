@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -12,27 +13,32 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import bpe
+from quern.llm import bpe, common
 
 #: Pieces of more bytes than this are contracted by LONG, which keeps one state a word.
 SHORT = 64
 
-#: A row per word, position and step; each step contracts every word's leftmost pair of least rank.
-#: A word without such a pair has no row in the next step. npos and ntok are the next token's.
+#: Words that are a token as they stand: the vocabulary is a table like any other.
+WHOLE = "SELECT word, id FROM words JOIN vocabulary USING (bytes) ORDER BY word"
+
+#: A row per word, position and step; each step contracts every word's leftmost pair of least rank, which
+#: is the least of rank, position and next position as one number. A word without such a pair has no
+#: row in the next step. npos and ntok are the next token's; pair is both tokens of a merge as one number.
 CONTRACT = """
 WITH RECURSIVE t(step, word, pos, tok, npos, ntok) AS (
   SELECT 0::INT, word, pos, tok, npos, ntok FROM positions
   UNION ALL
   (WITH best AS (
-     SELECT word, min(rank) AS rank, min(rank::BIGINT << 32 | pos) & 4294967295 AS pos, arg_min(npos, rank::BIGINT << 32 | pos) AS gone
-     FROM t JOIN merges ON tok = l AND ntok = r GROUP BY word),
-   pair AS (
-     SELECT best.*, t.npos AS after, t.ntok AS after_tok FROM best JOIN t ON t.word = best.word AND t.pos = best.gone)
+     SELECT word, min((rank::BIGINT << 40) | (pos::BIGINT << 20) | npos) AS least
+     FROM t JOIN merges ON pair = ((tok::BIGINT << 32) | ntok) GROUP BY word),
+   hit AS (
+     SELECT best.word, (least >> 40)::INT AS rank, ((least >> 20) & 1048575)::INT AS pos, (least & 1048575)::INT AS gone, t.npos AS after, t.ntok AS after_tok
+     FROM best JOIN t ON t.word = best.word AND t.pos = (least & 1048575))
    SELECT step + 1, t.word, t.pos,
-          CASE WHEN t.pos = pair.pos THEN rank ELSE tok END,
-          CASE WHEN t.pos = pair.pos THEN after ELSE npos END,
-          CASE WHEN t.pos = pair.pos THEN after_tok WHEN npos = pair.pos THEN rank ELSE ntok END
-   FROM t JOIN pair ON t.word = pair.word WHERE t.pos <> pair.gone)
+          CASE WHEN t.pos = hit.pos THEN rank ELSE tok END,
+          CASE WHEN t.pos = hit.pos THEN after ELSE npos END,
+          CASE WHEN t.pos = hit.pos THEN after_tok WHEN npos = hit.pos THEN rank ELSE ntok END
+   FROM t JOIN hit ON t.word = hit.word WHERE t.pos <> hit.gone)
 )
 SELECT word, pos, tok FROM t SEMI JOIN (SELECT word, max(step) AS step FROM t GROUP BY word) last ON t.word = last.word AND t.step = last.step ORDER BY word, pos
 """
@@ -45,12 +51,12 @@ WITH RECURSIVE t(word, pos, tok, npos, ntok) USING KEY (word, pos) AS (
   SELECT word, pos, tok, npos, ntok FROM positions
   UNION
   (WITH now AS (SELECT * FROM recurring.t WHERE tok >= 0),
-   hit AS (SELECT word, pos, npos, rank FROM now JOIN merges ON tok = l AND ntok = r),
+   hit AS (SELECT word, pos, npos, rank FROM now JOIN merges ON pair = ((tok::BIGINT << 32) | ntok) WHERE ntok >= 0),
    least AS (SELECT * FROM hit QUALIFY rank = min(rank) OVER (PARTITION BY word)),
    run AS (SELECT *, CASE WHEN lag(npos) OVER (PARTITION BY word ORDER BY pos) = pos THEN 0 ELSE 1 END AS fresh FROM least),
    run_no AS (SELECT *, sum(fresh) OVER (PARTITION BY word ORDER BY pos) AS no FROM run),
-   pair AS (SELECT word, pos, npos AS gone, rank FROM run_no QUALIFY row_number() OVER (PARTITION BY word, no ORDER BY pos) % 2 = 1),
-   whole AS (SELECT pair.*, now.npos AS after, now.ntok AS after_tok FROM pair JOIN now ON now.word = pair.word AND now.pos = pair.gone),
+   chosen AS (SELECT word, pos, npos AS gone, rank FROM run_no QUALIFY row_number() OVER (PARTITION BY word, no ORDER BY pos) % 2 = 1),
+   whole AS (SELECT chosen.*, now.npos AS after, now.ntok AS after_tok FROM chosen JOIN now ON now.word = chosen.word AND now.pos = chosen.gone),
    changed AS (
      SELECT now.word, now.pos, coalesce(own.rank, now.tok) AS tok, coalesce(own.after, now.npos) AS npos, coalesce(own.after_tok, now.ntok) AS ntok, own.pos IS NOT NULL AS merged
      FROM now LEFT JOIN whole own ON own.word = now.word AND own.pos = now.pos)
@@ -63,8 +69,8 @@ WITH RECURSIVE t(word, pos, tok, npos, ntok) USING KEY (word, pos) AS (
 SELECT word, pos, tok FROM t WHERE tok >= 0 ORDER BY word, pos
 """
 
-#: The bytes of each word's tokens, in order of position.
-DECODE = "SELECT word, string_agg(hex, '' ORDER BY pos) AS hex FROM ids JOIN vocabulary ON tok = id GROUP BY word ORDER BY word"
+#: The bytes of all words' tokens in order of word and position, and how many hexadecimal digits each token has.
+DECODE = "SELECT string_agg(hex, '' ORDER BY word, pos) AS hex, list(length(hex) ORDER BY word, pos) AS sizes FROM ids JOIN vocabulary ON tok = id"
 
 
 class DuckBpe:
@@ -74,8 +80,8 @@ class DuckBpe:
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{memory_mb}MB"})
         splits = [(ranks.get(t[:k]), ranks.get(t[k:]), i) for t, i in ranks.items() for k in range(1, len(t))]
         splits = [s for s in splits if s[0] is not None and s[1] is not None]
-        merges = pa.table({n: pa.array(c, pa.int32()) for n, c in zip(("l", "r", "rank"), zip(*splits))}) if splits else pa.table({n: pa.array([], pa.int32()) for n in ("l", "r", "rank")})
-        vocabulary = pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]})
+        merges = pa.table({"pair": pa.array([l << 32 | r for l, r, _ in splits], pa.int64()), "rank": pa.array([i for _, _, i in splits], pa.int32())})
+        vocabulary = pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks], pa.string()), "bytes": pa.array(ranks, pa.binary())})
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
             self.con.register("rows", rows)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
@@ -101,10 +107,14 @@ class DuckBpe:
         tokens, ends = out["tok"].to_numpy().astype("<u4").tobytes(), ends.tolist()
         return [tokens[a:b] for a, b in zip([0, *ends], ends)]
 
-    def encode_words(self, words: list[bytes], rows: int = 150_000) -> list[bytes]:
-        """Ids of each word, as little-endian unsigned 32-bit numbers; no word is empty. Queries take about `rows` bytes of words at a time."""
+    def encode_words(self, words: list[bytes], rows: int = 400_000) -> list[bytes]:
+        """Ids of each word, as little-endian unsigned 32-bit numbers; no word is empty. Words that are no token
+        go through the recursive queries, about `rows` bytes of words at a time."""
         out: list = [None] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        whole = self._query("words", pa.table({"word": pa.array(range(len(words)), pa.int32()), "bytes": pa.array(words, pa.binary())}), WHOLE)
+        for i, token in zip(whole["word"].to_pylist(), whole["id"].to_pylist()):
+            out[i] = token.to_bytes(4, "little")
+        order = sorted((i for i, ids in enumerate(out) if ids is None), key=lambda i: len(words[i]))
         at = 0
         while at < len(order):
             end, size = at, 0
@@ -135,10 +145,11 @@ class DuckBpe:
             word = np.repeat(np.arange(len(group), dtype=np.int32), lengths)
             pos = (np.arange(len(ids)) - np.repeat(lengths.cumsum() - lengths, lengths)).astype(np.int32)
             got = self._query("ids", pa.table({"word": word, "pos": pos, "tok": ids.astype(np.int32)}), DECODE)
-            part = [b""] * len(group)
-            for w, hexed in zip(got["word"].to_pylist(), got["hex"].to_pylist()):
-                part[w] = bytes.fromhex(hexed)
-            out += part
+            raw = bytes.fromhex(got["hex"][0].as_py() or "")
+            sizes = got["sizes"].combine_chunks().flatten().to_numpy().astype(np.int64) // 2
+            # Where each word's bytes end: after those of its last token.
+            ends = np.concatenate([[0], sizes.cumsum()])[np.concatenate([[0], lengths.cumsum()])].tolist()
+            out += [raw[a:b] for a, b in zip(ends, ends[1:])]
             at = end
         return out
 
@@ -148,8 +159,8 @@ class Codec:
     kept, as are the pieces that the pattern splits them into; what is kept is bounded and thrown
     away together when the bound is reached."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_kept: int = 500_000):
-        self.duck, self.ranks, self.max_kept = DuckBpe(ranks), ranks, max_kept
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_kept: int = 800_000):
+        self.duck, self.max_kept = DuckBpe(ranks), max_kept
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.chunk_ids: dict[str, bytes] = {}
         self.chunk_back: dict[str, bytes] = {}
@@ -172,19 +183,10 @@ class Codec:
     def _learn(self, chunks: list[str]) -> None:
         ids, back = self.piece_ids, self.piece_back
         pieces = list(map(self.split, chunks))
-        todo: dict[str, bytes] = {}
-        new: list[str] = []
-        for p in {p for own in pieces for p in own}:
-            if p not in ids:
-                raw = p.encode("utf-8", "surrogatepass")
-                rank = self.ranks.get(raw)
-                if rank is None:
-                    todo[p] = raw
-                else:
-                    ids[p] = rank.to_bytes(4, "little")
-                new.append(p)
-        ids.update(zip(todo, self.duck.encode_words(list(todo.values()))))
-        back.update(zip(new, self.duck.decode_words([ids[p] for p in new])))
+        new = list(set(chain.from_iterable(pieces)).difference(ids))
+        found = self.duck.encode_words([p.encode("utf-8", "surrogatepass") for p in new])
+        ids.update(zip(new, found))
+        back.update(zip(new, self.duck.decode_words(found)))
         for chunk, own in zip(chunks, pieces):
             if len(own) == 1:
                 self.chunk_ids[chunk], self.chunk_back[chunk] = ids[own[0]], back[own[0]]
@@ -203,16 +205,17 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], batch_chars: int = 2_000_000) -> DataFrame:
+def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], batch_chars: int = 4_000_000) -> DataFrame:
     """The columns in keep, ids (array of bigint) and decoded (binary) of every whole text.
 
-    Null counts as the empty text, which has no ids. Special strings are ordinary text. Repeated
+    Null counts as the empty text, which has no ids. A very long text is coded whole, with a batch to itself.
+    Columns in keep may have any names but those added. Special strings are ordinary text. Repeated
     rows are each coded; an empty table gives no rows. Texts stay in their partition: nothing is shuffled.
     """
     return _run(docs, ranks_path, pattern, keep, batch_chars, False)
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], batch_chars: int = 2_000_000) -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], batch_chars: int = 4_000_000) -> DataFrame:
     """As encode_and_decode(), with n_tokens, ids_sha256 and decoded_sha256 in place of ids and bytes."""
     return _run(docs, ranks_path, pattern, keep, batch_chars, True)
 
@@ -244,4 +247,5 @@ def _run(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], batch_
     schema = docs.select(*keep).schema
     for name, kind in zip(new, (LongType(), StringType(), StringType()) if digest else (ArrayType(LongType()), BinaryType())):
         schema = schema.add(name, kind)
-    return docs.select(F.col("text").cast("string").alias("_whole_text"), *keep).mapInArrow(run, schema)
+    mine = common.free_names(docs.select(*keep), "_whole_text")[0]
+    return docs.select(F.col("text").cast("string").alias(mine), *keep).mapInArrow(run, schema)
