@@ -47,3 +47,34 @@ def test_edges(spark):
     got = maxscore.top_k(maxscore.quantised(df), F.col("vec_id") % 20 == 0).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(1, 64 * 64 + 32 * 32), (5, 0), (2, -4096), (2, -4096)]
     assert maxscore.top_k(maxscore.quantised(df.limit(0)), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_large_components_are_exact(spark):
+    """Components and scores beyond 64 bits, beside common ones, against Python's integers."""
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(0, 1, 8) * 10.0 ** rng.integers(-1, 30)).tolist()) for i in range(120)]
+    rows += [(200 + i, [1e8] * 64) for i in range(3)] + [(220, [1.0] * 64), (221, [3e38] * 64), (240, [-3e38] * 64)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    plain = [(r.vec_id, [int(np.floor(64 * np.float64(x))) for x in r.embedding]) for r in df.collect()]
+    want = brute({i: x for i, x in plain if i % 20 == 0}, plain, 7)
+    clamp = lambda s: max(-(2**63), min(2**63 - 1, s))
+    for shard, seed in ((10_000, 4096), (10, 40)):
+        got = {}
+        for r in maxscore.top_k(maxscore.quantised(df), F.col("vec_id") % 20 == 0, k=7, shard_rows=shard, seed_rows=seed).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        assert {q: [x[1:] for x in sorted(found)] for q, found in got.items()} == {q: [(i, clamp(s)) for i, s in found] for q, found in want.items()}
+    double = spark.createDataFrame([(0, [1e308]), (1, [1.0])], "vec_id bigint, embedding array<double>")
+    assert [r.vec_id for r in maxscore.quantised(double).collect()] == [1]
+
+
+def test_vectors_are_not_copied_to_query_blocks(spark):
+    """Blocks of queries come to the shards: each vector is written once, whatever the number of blocks."""
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, rng.normal(0, 1, 6).tolist()) for i in range(400)], "vec_id bigint, embedding array<double>")
+    plain = [(r.vec_id, [int(np.floor(64 * x)) for x in r.embedding]) for r in df.collect()]
+    want = brute({i: x for i, x in plain if i % 5 == 0}, plain, 3)
+    top = maxscore.top_k(maxscore.quantised(df), F.col("vec_id") % 5 == 0, k=3, shard_rows=90, query_rows=9, seed_rows=20)
+    got = {}
+    for r in top.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert {q: [x[1:] for x in sorted(found)] for q, found in got.items()} == want
