@@ -52,7 +52,9 @@ def statistics(text: str) -> list[float]:
 
 
 def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns in keep and `stats`, of every whole text; null counts as empty."""
+    """The columns in keep and `stats`, of every whole text; null counts as empty. Repeated rows are each
+    described; an empty table gives no rows. Columns in keep may have any names but stats."""
+    mine = common.free_names(docs.select(*keep), "_whole_text")[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,7 +63,7 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     from pyspark.sql.types import ArrayType, DoubleType
 
-    return docs.select(F.col("text").cast("string").alias("_whole_text"), *keep).mapInArrow(run, docs.select(*keep).schema.add("stats", ArrayType(DoubleType())))
+    return docs.select(F.col("text").cast("string").alias(mine), *keep).mapInArrow(run, docs.select(*keep).schema.add("stats", ArrayType(DoubleType())))
 
 
 @dataclass(frozen=True)
@@ -106,12 +108,16 @@ def sample_labels(labels: DataFrame, may_learn: Column, max_rows: int = 200_000)
 
 
 def train(stats: DataFrame, marked: DataFrame, size: int = 256, gamma: float = 0.03, ridge: float = 3e-4, seed: int = 5) -> Model:
-    """Fits on documents (doc_id, stats) that sample_labels() marks. Every task sums its part of the normal
+    """Fits on documents (doc_id, stats) that sample_labels() marks. Their rows are cut to a table first, so
+    the statistics of all documents are read once, by as many tasks as they have parts. Every task sums its part of the normal
     equations, for each of FOLDS folds; the sums are added by matrix row. Scores for the calibration
     come from models that have not seen the row's fold; their counts reach the driver in at most
     3001 steps. With no label of either kind every score is the share of label 1 (0.5 if there is none at all).
+    A document that occurs or is labelled several times counts as often; ties at a step of the calibration
+    are pooled; with an empty table every score is 0.5.
     """
-    rows = stats.join(F.broadcast(marked), "doc_id").select("stats", "_y", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = common.cut(stats.join(F.broadcast(marked), "doc_id").select("stats", "_y", fold), "labelled")
     d = len(STATISTICS)
     moments = rows.select(F.count("*"), F.coalesce(F.avg("_y"), F.lit(0.5)), *[F.coalesce(f(F.col("stats")[i]), F.lit(0.0)) for f in (F.avg, F.stddev_pop) for i in range(d)]).first()
     n, share = moments[0], float(moments[1])
@@ -166,7 +172,9 @@ def train(stats: DataFrame, marked: DataFrame, size: int = 256, gamma: float = 0
 
 
 def score(stats: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns in keep and score (0 to 1, higher: label 1 is likelier), from stats alone."""
+    """The columns in keep and score (0 to 1, higher: label 1 is likelier), from stats alone. Each row is
+    scored, repeated ones too; an empty table gives no rows. Columns in keep may have any names but score."""
+    mine = common.free_names(stats.select(*keep), "_stats")[0]
     sent = stats.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,11 +182,11 @@ def score(stats: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             found = sent.value.score(np.array(batch.column(0).to_pylist(), float).reshape(-1, len(STATISTICS)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found)], names=[*batch.schema.names[1:], "score"])
 
-    return stats.select(F.col("stats").alias("_stats"), *keep).mapInArrow(run, stats.select(*keep).schema.add("score", "double"))
+    return stats.select(F.col("stats").alias(mine), *keep).mapInArrow(run, stats.select(*keep).schema.add("score", "double"))
 
 
 def score_texts(docs: DataFrame, model: Model, out: str) -> DataFrame:
-    """docs with the score of every whole text as column out, in one pass."""
+    """docs with the score of every whole text as column out (a name that docs lacks), in one pass."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
