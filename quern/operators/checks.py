@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources import files
+
 
 def ensure(df: DataFrame, condition: Column, message: str) -> DataFrame:
     """CHECK: a row for which the condition is false (not null) is an error when it is read."""
@@ -27,15 +29,21 @@ def with_policy(df: DataFrame, using: Column) -> DataFrame:
     return df.where(using)
 
 
-def number_rows(df: DataFrame, name: str, order: list[str], start: int = 1, chunk: int = 100_000) -> DataFrame:
-    """Gapless sequence values in an order, without one task that sees all rows: range partitions are
-    counted, and each row gets its partition's start plus its place there."""
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    local = dealt.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = local.groupBy("_part").agg(F.max("_row").alias("_n"))
-    # One row per partition: the running sum is over as many rows as there are partitions.
-    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(starts.drop("_n")), "_part").withColumn(name, F.col("_before") + F.col("_row") + (start - 1)).drop("_part", "_row", "_before")
+def number_rows(df: DataFrame, name: str, order: list[str], start: int = 1, chunk: int = 1_000_000) -> DataFrame:
+    """Gapless sequence values in an order, without one task that sees all rows; equal rows in any order.
+
+    Rows are dealt by ranges of about `chunk` rows and written once with their range's number to a table in the
+    shared folder. Counts and rows are both read from it, so each row gets its range's start plus its
+    place there, however the ranges were sampled and whatever task runs again."""
+    part, row, before = (next(n for n in (base + "_" * i for i in range(99)) if n.lower() not in {c.lower() for c in df.columns}) for base in ("_part", "_row", "_before"))
+    parts = max(1, -(-df.count() // chunk))
+    dealt = files.cut(df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy(part).agg(F.count("*").alias("n"))
+    # One row per range: the running sum is over as many rows as there are ranges.
+    earlier = F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(part, F.coalesce(earlier, F.lit(0)).alias(before))
+    local = dealt.withColumn(row, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    return local.join(F.broadcast(starts), part).select(*df.columns, (F.col(before) + F.col(row) + (start - 1)).alias(name))
 
 
 def nextval(df: DataFrame, name: str, start: int = 1) -> DataFrame:

@@ -22,41 +22,75 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right
     return found.select(*left.columns, *[F.col(f"_found.{c}").alias(c) for c in columns])
 
 
+#: The class of ranges without an end: all are in one bin.
+_ENDLESS = 2000
+
+
+def _class_of(low: str, high: str, width: float) -> Column:
+    """Ranges of up to width are of class 0, of up to twice as much of class 1, and so on."""
+    length = F.col(high).cast("double") - F.col(low).cast("double")
+    bounded = (F.abs(F.col(low).cast("double")) < 1e300) & (F.abs(F.col(high).cast("double")) < 1e300)
+    return F.when(bounded, F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(width)) / width)))).otherwise(_ENDLESS).cast("int")
+
+
+def _bin(x: Column, cls: Column, width: float) -> Column:
+    return F.when(cls == _ENDLESS, F.lit(0).cast("bigint")).otherwise(F.floor(x.cast("double") / (F.lit(width) * F.pow(F.lit(2.0), cls))).cast("bigint"))
+
+
+def _classes(ranges: DataFrame, low: str, high: str, width: float) -> Column:
+    """The classes that occur, a short list: some 1,100 are possible, real data have a few."""
+    found = ranges.where(F.col(low) <= F.col(high)).select(_class_of(low, high, width).alias("c")).distinct().collect()
+    return F.array(*[F.lit(r["c"]) for r in found]).cast("array<int>")
+
+
 def point_in_range(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
-    """points JOIN ranges ON point BETWEEN low AND high, by equal bins of `width` that a range is copied
-    into (once for each bin it meets); a range of about width meets two. Exact for every width; choose it
-    near the usual length of a range. The bins make it an equi join, which Spark shuffles and splits."""
-    bin_of = lambda c: F.floor(F.col(c) / F.lit(width)).cast("bigint")
-    cut = ranges.where(F.col(low) <= F.col(high)).withColumn("_bin", F.explode(F.sequence(bin_of(low), bin_of(high))))
-    joined = points.withColumn("_bin", bin_of(point)).join(cut, "_bin")
-    return joined.where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("_bin")
+    """points JOIN ranges ON point BETWEEN low AND high, by bins as wide as the ranges: a range is in the class
+    of the least power of two times `width` that holds it, and meets two bins of that class at most, however
+    long it is; a point is copied once for each class that occurs. The bins make it an equi join,
+    which Spark shuffles and splits. Exact for every width; choose it near the usual length of a range."""
+    cls = _class_of(low, high, width)
+    cut = ranges.where(F.col(low) <= F.col(high)).withColumn("_class", cls)
+    cut = cut.withColumn("_bin", F.explode(F.sequence(_bin(F.col(low), F.col("_class"), width), _bin(F.col(high), F.col("_class"), width))))
+    sent = points.withColumn("_class", F.explode(_classes(ranges, low, high, width)))
+    joined = sent.withColumn("_bin", _bin(F.col(point), F.col("_class"), width)).join(cut, ["_class", "_bin"])
+    return joined.where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("_bin", "_class")
 
 
 def overlapping(left: DataFrame, right: DataFrame, low: tuple[str, str], high: tuple[str, str], width: float) -> DataFrame:
-    """left JOIN right ON the ranges overlap (ends included). Both are copied into the bins they meet;
-    a pair is taken only in the first bin that both share, so it comes once."""
-    bin_of = lambda c: F.floor(F.col(c) / F.lit(width)).cast("bigint")
-    a = left.withColumn("_bin", F.explode(F.sequence(bin_of(low[0]), bin_of(high[0]))))
-    b = right.withColumn("_bin", F.explode(F.sequence(bin_of(low[1]), bin_of(high[1]))))
+    """left JOIN right ON the ranges overlap (ends included). A range of one side is copied, for each class of
+    the other, into the bins of the wider class of both that it meets, two at most; a pair is taken only in the
+    bin where the later of both begins, so it comes once."""
+
+    def sent(side: DataFrame, own: int) -> DataFrame:
+        other = (right, left)[own]
+        rows = side.where(F.col(low[own]) <= F.col(high[own])).withColumn("_own", _class_of(low[own], high[own], width))
+        rows = rows.withColumn("_other", F.explode(_classes(other, low[1 - own], high[1 - own], width))).withColumn("_wide", F.greatest("_own", "_other"))
+        bins = F.sequence(_bin(F.col(low[own]), F.col("_wide"), width), _bin(F.col(high[own]), F.col("_wide"), width))
+        names = {"_own": ("_left", "_right")[own], "_other": ("_right", "_left")[own]}
+        return rows.withColumn("_bin", F.explode(bins)).withColumnsRenamed(names)
+
+    joined = sent(left, 0).join(sent(right, 1).drop("_wide"), ["_left", "_right", "_bin"])
     meet = (F.col(low[0]) <= F.col(high[1])) & (F.col(low[1]) <= F.col(high[0]))
-    first = F.col("_bin") == bin_of_greatest(low, width)
-    return a.join(b, "_bin").where(meet & first).drop("_bin")
-
-
-def bin_of_greatest(low: tuple[str, str], width: float) -> Column:
-    return F.floor(F.greatest(*[F.col(c) for c in low]) / F.lit(width)).cast("bigint")
+    first = F.col("_bin") == _bin(F.greatest(*[F.col(c) for c in low]), F.col("_wide"), width)
+    return joined.where(meet & first).drop("_left", "_right", "_bin", "_wide")
 
 
 def salted(left: DataFrame, right: DataFrame, on: list[str], salts: int = 16, most_keys: int = 10_000, how: str = "inner") -> DataFrame:
     """An equi join whose frequent left keys are spread over `salts` tasks: their right rows are copied.
 
+    how: inner, left, left_semi or left_anti; with others an unmatched right row's copies would come too.
     Frequent is a key of more than 1 / most_keys of the rows, so there are fewer than most_keys of
-    them, which bounds what is broadcast; all other keys are joined as they are.
+    them, which bounds what is broadcast; all other keys are joined as they are. A row's salt is a hash of its
+    values, the same in every run of its task. Rows with a null key match nothing and are spread likewise.
     """
+    how = {"semi": "left_semi", "anti": "left_anti", "left_outer": "left"}.get(how, how)
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"a salted join can't be {how}: right rows are copied")
     n = left.count()
-    hot = left.groupBy(*on).count().where(F.col("count") > n / most_keys).select(*on, F.lit(True).alias("_hot"))
-    hot = F.broadcast(hot)
-    a = left.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.floor(F.rand(7) * salts).cast("int")).otherwise(0)).drop("_hot")
+    hot = F.broadcast(left.groupBy(*on).count().where(F.col("count") > n / most_keys).select(*on, F.lit(True).alias("_hot")))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
+    no_key = F.greatest(*[F.col(k).isNull() for k in on], F.lit(False))
+    a = left.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot") | no_key, spread).otherwise(0)).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     b = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return a.join(b, [*on, "_salt"], how).drop("_salt")

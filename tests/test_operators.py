@@ -172,3 +172,62 @@ def test_metaphone_covers_the_whole_table(spark):
     got = {r.p_partkey: r.m for r in catalog.queries()["str_metaphone"](spark, sf).collect()}
     keys = strings.metaphone_key.func(pd.Series(names))
     assert len(names) > 50 and got == keys.to_dict()
+
+
+def test_numbers_are_gapless_on_many_rows(spark):
+    many = spark.range(0, 2_000_000, 1, 16).select((F.col("id") * 7919 % 2_000_003).alias("x"), F.md5(F.col("id").cast("string")).alias("extra"), F.lit(1).alias("_part"))
+    got = checks.number_rows(many.repartition(16), "n", ["x"], chunk=150_000)
+    r = got.agg(F.count("*").alias("rows"), F.count_distinct("n").alias("distinct"), F.min("n").alias("low"), F.max("n").alias("high")).first()
+    assert tuple(r) == (2_000_000, 2_000_000, 1, 2_000_000) and got.columns == ["x", "extra", "_part", "n"]
+    assert got.select("n").join(many.select("x"), F.col("n") == F.col("x") + 1).count() > 0
+    assert checks.number_rows(many.limit(0), "n", ["x"]).count() == 0
+
+
+def test_merge_of_several_source_rows(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, None)], "k int, v string")
+    s = spark.createDataFrame([(2, "x"), (2, "y"), (2, "y"), (None, "n"), (None, "n"), (9, "z"), (9, "z")], "k int, v string")
+    put = dml.When("not_matched", "insert", {"k": F.col("s.k"), "v": F.col("s.v")})
+    table, changed = dml.merge(t, s, ["k"], [dml.When("matched", "nothing")])
+    assert rows(table) == rows(t) and changed.count() == 0
+    table, changed = dml.merge(t, s, ["k"], [dml.When("matched", "update", {"v": F.col("s.v")}, F.col("s.v") == "x"), put])
+    assert rows(table) == sorted([(1, "a"), (2, "x"), (2, "x"), (3, None), (None, "n"), (None, "n"), (9, "z"), (9, "z")], key=repr)
+    assert sorted(r.action for r in changed.collect()) == ["INSERT"] * 4 + ["UPDATE"] * 2
+    assert rows(dml.merge(t, s, ["k"], [dml.When("matched", "delete", condition=F.col("s.v") == "x")])[0]) == sorted([(1, "a"), (3, None)], key=repr)
+    with pytest.raises(Exception, match="second time"):
+        dml.merge(t, s, ["k"], [dml.When("matched", "update", {"v": F.col("s.v")}, F.col("s.v") == "y")])[0].collect()
+
+
+def test_upsert_and_update_from_rules(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
+    given = spark.createDataFrame([(None, "p"), (None, "p"), (2, "q"), (5, "r"), (5, "s")], "k int, v string")
+    table = rows(dml.upsert(t, given, ["k"])[0])
+    assert [r[1] for r in table if r[0] is None] == ["c", "p", "p"] and len(table) == 6 and (2, "b") in table
+    with pytest.raises(Exception, match="second time"):
+        dml.upsert(t, given, ["k"], lambda: {"v": F.col("s.v")})[0].collect()
+    once = given.where("v <> 's'")
+    assert (2, "q") in rows(dml.upsert(t, once, ["k"], lambda: {"v": F.col("s.v")})[0])
+    source = spark.createDataFrame([(2, "x"), (2, "y"), (1, "y")], "k int, v string")
+    for which, want in (("x", [(1, "a"), (2, "x"), (None, "c")]), ("y", [(1, "y"), (2, "y"), (None, "c")]), ("z", rows(t))):
+        assert rows(dml.update_from(t, source, ["k"], {"v": F.col("s.v")}, F.col("s.v") == which)[0]) == sorted(want, key=repr)
+    assert {r[1] for r in rows(dml.update_from(t, source, ["k"], {"v": F.col("s.v")})[0]) if r[0] == 2} <= {"x", "y"}
+
+
+def test_salted_joins_of_every_kind(spark):
+    left = spark.range(600).select(F.when(F.col("id") < 300, 1).when(F.col("id") < 400, None).otherwise(F.col("id")).alias("k"), "id").repartition(5)
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (450, "c"), (5, "d"), (None, "e")], "k bigint, v string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert rows(joins.salted(left, right, ["k"], most_keys=100, how=how)) == rows(left.join(right, "k", how))
+    for how in ("full", "right"):
+        with pytest.raises(ValueError):
+            joins.salted(left, right, ["k"], how=how)
+
+
+def test_long_and_endless_ranges_have_few_bins(spark):
+    p = spark.createDataFrame([(i, float(i)) for i in range(-20, 20)], "p int, x double")
+    ranges_ = [(0, -1e15, 1e15), (1, 0.0, float("inf")), (2, float("-inf"), -5.0), (3, 2.0, 2.0), (4, 1.5, 9.25), (5, 7.0, 3.0)]
+    r = spark.createDataFrame(ranges_, "r int, lo double, hi double")
+    want = sorted(((i, j) for i in range(-20, 20) for j, lo, hi in ranges_ if lo <= i <= hi), key=repr)
+    assert rows(joins.point_in_range(p, r, "x", "lo", "hi", 0.5).select("p", "r")) == want
+    other = r.select(F.col("r").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    both = sorted(((a, b) for a, l1, h1 in ranges_ for b, l2, h2 in ranges_ if l1 <= h1 and l2 <= h2 and l1 <= h2 and l2 <= h1), key=repr)
+    assert rows(joins.overlapping(r, other, ("lo", "lo2"), ("hi", "hi2"), 0.5).select("r", "q")) == both
