@@ -39,9 +39,9 @@ def dml_update_where(t: Tables):
     return dml.update(t.orders, F.col("o_totalprice") > 300000, {"o_orderstatus": F.lit("X")})[0].select("o_orderkey", "o_orderstatus")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def dml_delete_using(t: Tables):
-    return dml.delete_using(t.customer, t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])[0].select("c_custkey", "c_name")
+    return dml.delete_using(t.customer, t.orders.where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])[0].select("c_custkey", "c_name")
 
 
 MERGE_ORACLE = """
@@ -107,9 +107,9 @@ def dml_materialized_view_refresh(t: Tables):
     return t.spark.read.parquet(versions[-1])
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey < 100 AND o_totalprice > 100000")
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 100000")
 def dml_view_expansion(t: Tables):
-    t.orders.where("o_custkey < 100").createOrReplaceTempView("quern_small_customers")
+    t.orders.where("o_orderstatus = 'O'").createOrReplaceTempView("quern_small_customers")
     return t.spark.sql("SELECT o_orderkey, o_custkey, o_totalprice FROM quern_small_customers WHERE o_totalprice > 100000")
 
 
@@ -135,7 +135,7 @@ def dml_prepared_statement(t: Tables):
     return t.spark.sql("SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_custkey = :c AND o_totalprice > :p", args={"c": 7, "p": 50000}, orders=t.orders)
 
 
-portable("dml_select_for_update", "SELECT o_orderkey, o_orderstatus FROM {orders} WHERE o_orderkey < 40")
+portable("dml_select_for_update", "SELECT o_orderkey, o_orderstatus FROM {orders} WHERE o_orderstatus = 'P'")
 
 
 @query("SELECT k, lo FROM (VALUES (1, 4)) v(k, lo)")

@@ -11,9 +11,9 @@ portable("set_union_all", "SELECT c_nationkey AS k FROM {customer} UNION ALL SEL
 portable("set_union", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}")
 portable("set_intersect", "SELECT o_custkey AS k FROM {orders} INTERSECT SELECT c_custkey FROM {customer} WHERE c_nationkey < 5")
 portable("set_intersect_all", "SELECT c_nationkey AS k FROM {customer} INTERSECT ALL SELECT s_nationkey FROM {supplier}")
-portable("set_except", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders}")
+portable("set_except", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders} WHERE o_totalprice > 300000")
 portable("set_except_all", "SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey FROM {supplier}")
-portable("set_nested", "(SELECT n_nationkey AS k FROM {nation} UNION SELECT r_regionkey + 20 FROM {region}) EXCEPT (SELECT c_nationkey FROM {customer} WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM {supplier})")
+portable("set_nested", "(SELECT n_nationkey AS k FROM {nation} UNION SELECT r_regionkey + 20 FROM {region}) EXCEPT (SELECT c_nationkey FROM {customer} WHERE c_nationkey < 12 INTERSECT SELECT s_nationkey FROM {supplier})")
 portable("set_nulls_equal", "SELECT a FROM (VALUES (1), (NULL)) AS v(a) INTERSECT SELECT b FROM (VALUES (NULL), (2)) AS w(b)")
 
 

@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 from quern.operators import recursive
 from quern.plans.registry import Tables, portable, query
 
-portable("subq_scalar_init", "SELECT o_orderkey FROM {orders} WHERE o_totalprice > (SELECT avg(o_totalprice) * 2 FROM {orders})")
-portable("subq_correlated_scalar", "SELECT c_custkey, (SELECT max(o_totalprice) FROM {orders} WHERE o_custkey = c_custkey) AS best FROM {customer} WHERE c_custkey < 400")
+portable("subq_scalar_init", "SELECT o_orderkey FROM {orders} WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM {orders})")
+portable("subq_correlated_scalar", "SELECT c_custkey, (SELECT max(o_totalprice) FROM {orders} WHERE o_custkey = c_custkey) AS best FROM {customer}")
 portable("subq_correlated_filter", "SELECT l_orderkey, l_linenumber FROM {lineitem} l WHERE l_quantity > (SELECT 1.4 * avg(l_quantity) FROM {lineitem} m WHERE m.l_partkey = l.l_partkey)")
-portable("subq_exists_value", "SELECT c_custkey, EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS has FROM {customer} WHERE c_custkey < 400")
-portable("subq_not_exists", "SELECT s_suppkey FROM {supplier} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_suppkey = s_suppkey AND l_quantity > 49)")
+portable("subq_exists_value", "SELECT c_custkey, EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS has FROM {customer}")
+portable("subq_not_exists", "SELECT s_suppkey FROM {supplier} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_suppkey = s_suppkey AND l_quantity > 49 AND l_discount > 0.095)")
 portable("subq_in", "SELECT p_partkey FROM {part} WHERE p_partkey IN (SELECT l_partkey FROM {lineitem} WHERE l_discount = 0.1)")
-portable("subq_not_in", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders})")
+portable("subq_not_in", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 300000)")
 portable("subq_not_in_null", "SELECT a FROM (VALUES (1), (2), (NULL)) AS v(a) WHERE a NOT IN (SELECT b FROM (VALUES (1), (NULL)) AS w(b))")
 portable("subq_in_empty_set", "SELECT a, a IN (SELECT r_regionkey FROM {region} WHERE r_regionkey > 99) AS x FROM (VALUES (1), (NULL)) AS v(a)")
-portable("cte_inline_twice", "WITH t AS (SELECT o_custkey AS k, count(*) AS n FROM {orders} GROUP BY o_custkey) SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON a.n = b.n AND a.k < b.k WHERE a.k < 20 AND b.k < 60")
+portable("cte_inline_twice", "WITH t AS (SELECT o_custkey AS k, count(*) AS n FROM {orders} GROUP BY o_custkey) SELECT a.k AS a, a.n AS n, b.n AS m FROM t a JOIN t b ON a.k + 1 = b.k")
 portable("cte_recursive_union_all", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n, n * n AS sq FROM t")
 portable("cte_recursive_fibonacci", "WITH RECURSIVE f(i, a, b) AS (SELECT 1, CAST(0 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT i + 1, b, a + b FROM f WHERE i < 40) SELECT i, a FROM f")
 
