@@ -9,7 +9,7 @@ from quern.llm import common, html_text, warc
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures = warc.round_trip(common.table(spark, sf_dir, "pages"))
+    captures = warc.round_trip(common.table(spark, sf_dir, "pages"), payloads=False)
     return captures.select("page_id", "payload_bytes", "payload_digest", F.col("record.type").alias("record_type"), F.col("refers_to_page").alias("refers_to"))
 
 

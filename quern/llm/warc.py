@@ -26,19 +26,33 @@ RECORDS = "record_id string, type string, concurrent_to string, refers_to string
 _NAMES = [f.split()[0] for f in RECORDS.split(", ")]
 
 
-def plan(pages: DataFrame, least: int = REVISIT_LEAST) -> DataFrame:
-    """page_id, url, html, digest, uid and, for a revisit, first: page_id and uid of the row that it revisits.
-
-    Only digests and ids are grouped. The rows then meet the digests that occur more than once; Spark
-    broadcasts those when they are few, and else splits a digest that holds many rows.
+def plan(pages: DataFrame, least: int = REVISIT_LEAST, broadcast_rows: int = 200_000) -> DataFrame:
+    """page_id, url, html, digest, bytes and role of every row: `own`, a response that nothing refers to; `first`,
+    the one response of a payload that several rows have; `again`, a revisit of it (html may be null).
+
+    A role follows from the row's own values and from a table in the shared folder of the payloads that
+    occur more than once, so it is the same in every task that runs again, whatever pages come from. That table
+    is broadcast where it has at most broadcast_rows rows (some 150 bytes each), else met by shuffling.
+    Where rows equal to the first are repeated, one of them is taken for it, and the others are made from their number.
     """
-    keyed = pages.select(
-        F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
-    ).select("*", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.monotonically_increasing_id().alias("uid"))
-    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "uid")
-    repeated = keyed.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = keyed.join(repeated, "digest", "left")
-    return joined.withColumn("first", F.when(F.col("first.uid") != F.col("uid"), F.col("first")))
+    rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    keyed = rows.select("*", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").cast("bigint").alias("bytes"))
+    alike = keyed.where(F.col("bytes") >= least).groupBy("digest", "page_id", "url").agg(F.count("*").alias("n"), F.min("bytes").alias("bytes"))
+    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", F.col("url").isNull().alias("no_url"), "url")
+    by_digest = alike.groupBy("digest").agg(F.min_by(F.struct("page_id", "url", "n", "bytes"), order).alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    repeated = common.cut(by_digest, "warc-repeated")
+    few = repeated.count() <= broadcast_rows
+    joined = keyed.join(F.broadcast(repeated) if few else repeated.hint("merge"), "digest", "left")
+    is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url"))
+    role = F.when(F.col("first").isNull(), "own").when(~is_first, "again").when(F.col("first.n") == 1, "first").otherwise("one of several")
+    planned = joined.select("page_id", "url", "html", "digest", "bytes", role.alias("role"))
+    several = repeated.where("first.n > 1")
+    if several.isEmpty():
+        return planned
+    one = planned.where("role = 'one of several'").dropDuplicates(["digest"]).withColumn("role", F.lit("first"))
+    number = F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("first.n")))
+    others = several.select("first.page_id", "first.url", F.lit(None).cast("string").alias("html"), "digest", "first.bytes", F.lit("again").alias("role"), number.alias("number")).drop("number")
+    return planned.where("role <> 'one of several'").unionByName(one).unionByName(others)
 
 
 def _record(kind: str, record_id: str, date: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -47,8 +61,22 @@ def _record(kind: str, record_id: str, date: str, fields: list[tuple[str, str]],
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def _urn(kind: str, uid: int) -> str:
-    return f"urn:uuid:{uuid.UUID(bytes=hashlib.md5(b'%s:%d' % (kind.encode(), uid)).digest(), version=4)}"
+def _urn(name: str | None = None) -> str:
+    """A record's id: of a name, always the same, else a new one."""
+    return f"urn:uuid:{uuid.UUID(bytes=hashlib.md5(name.encode()).digest(), version=4) if name else uuid.uuid4()}"
+
+
+def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder as Hadoop writes it, and the path there: local, HDFS, S3, Google and Azure stores.
+    Another scheme is an error that names it."""
+    scheme, mark, rest = folder.partition("://")
+    known = {"s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs", "abfs": "abfs", "abfss": "abfss", "s3": "s3", "file": "file"}
+    if not mark:
+        folder = folder.removeprefix("file:")
+        return pafs.LocalFileSystem(), folder
+    if scheme not in known:
+        raise ValueError(f"archives can't be written to {scheme}://; known: {', '.join(known)}")
+    return pafs.FileSystem.from_uri(f"{known[scheme]}://{rest}")
 
 
 def write(planned: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", roll_bytes: int = 64 << 20) -> DataFrame:
@@ -63,7 +91,7 @@ def write(planned: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", r
     target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, top = pafs.FileSystem.from_uri(folder)
+        fs, top = file_system(folder)
         context = TaskContext.get()
         stem = f"{top}/{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         done: list[tuple[str, int, int]] = []
@@ -73,7 +101,7 @@ def write(planned: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", r
                 if out is None:
                     path = f"{stem}-{len(done):04d}.warc.gz"
                     out = fs.open_output_stream(path, compression=None)
-                    info = _record("warcinfo", _urn("warcinfo" + path, 0), date, [("Content-Type", "application/warc-fields")], b"software: quern\r\nformat: WARC File Format 1.1\r\n")
+                    info = _record("warcinfo", _urn(), date, [("Content-Type", "application/warc-fields")], b"software: quern\r\nformat: WARC File Format 1.1\r\n")
                     out.write(info)
                     records, size = 1, len(info)
                 for piece in _transaction(row, date):
@@ -89,24 +117,26 @@ def write(planned: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", r
         columns = list(zip(*done)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], names=["path", "records", "bytes"])
 
-    return common.cut(planned.select("page_id", "url", "html", "digest", "uid", "first").mapInArrow(run, MANIFEST), "warc-manifest")
+    return common.cut(planned.select("page_id", "url", "html", "digest", "bytes", "role").mapInArrow(run, MANIFEST), "warc-manifest")
 
 
 def _transaction(row: dict, date: str) -> Iterator[bytes]:
-    uid, first, payload = row["uid"], row["first"], row["html"].encode("utf-8", "surrogatepass")
-    answer = _urn("answer", uid)
+    role = row["role"]
+    payload = b"" if role == "again" else row["html"].encode("utf-8", "surrogatepass")
+    stored = _urn("payload " + row["digest"])
+    answer = stored if role == "first" else _urn()
     uri = None if row["url"] is None else _CONTROL.sub(lambda m: quote(m[0]), row["url"])
     about = [] if uri is None else [("WARC-Target-URI", uri)]
-    yield _record("request", _urn("request", uid), date, [*about, ("WARC-Concurrent-To", f"<{answer}>"), ("Content-Type", "application/http; msgtype=request")], f"GET {uri or '/'} HTTP/1.1\r\n\r\n".encode())
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    yield _record("request", _urn(), date, [*about, ("WARC-Concurrent-To", f"<{answer}>"), ("Content-Type", "application/http; msgtype=request")], f"GET {uri or '/'} HTTP/1.1\r\n\r\n".encode())
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['bytes']}\r\n\r\n".encode()
     fields = [*about, ("WARC-Payload-Digest", f"sha256:{row['digest']}"), ("Content-Type", "application/http; msgtype=response")]
-    if first is None:
+    if role != "again":
         yield _record("response", answer, date, fields, http + payload)
     else:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{_urn('answer', first['uid'])}>")]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{stored}>")]
         yield _record("revisit", answer, date, fields, http)
     own = b"" if row["page_id"] is None else b"page-id: %d\r\n" % row["page_id"]
-    yield _record("metadata", _urn("metadata", uid), date, [*about, ("WARC-Concurrent-To", f"<{answer}>"), ("Content-Type", "application/warc-fields")], own)
+    yield _record("metadata", _urn(), date, [*about, ("WARC-Concurrent-To", f"<{answer}>"), ("Content-Type", "application/warc-fields")], own)
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -165,7 +195,7 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str, batch_bytes: int
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(kinds), kinds)], names=_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pafs.FileSystem.from_uri(folder)
+        fs, _ = file_system(folder)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with fs.open_input_stream(path, compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
@@ -214,9 +244,12 @@ def assemble(records: DataFrame) -> DataFrame:
     )
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
+def round_trip(pages: DataFrame, payloads: bool = True) -> DataFrame:
     """The captures of archives written from pages (page_id, url, html) in the shared folder and read back.
 
+    The archives are parsed once, into a table of records in the shared folder that the joins read. With
+    payloads=False each payload is read, measured and digested, but not kept: record.payload is null.
+    Columns other than those three are left aside, whatever their names. A long page is one record, held whole by one task.
     Null html: an empty payload. Null url or page_id: the field is left out and read back as null; a
     control character or blank in a url is percent-encoded. Repeated rows are captures of their own;
     of equal payloads of at least 100 bytes one row with the smallest page_id is the response (null
@@ -224,4 +257,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     folder = common.scratch_path(spark, "warc")
-    return assemble(read(spark, write(plan(pages), folder), folder))
+    records = read(spark, write(plan(pages), folder), folder)
+    if not payloads:
+        records = records.withColumn("payload", F.lit(None).cast("binary"))
+    return assemble(common.cut(records, "warc-records"))

@@ -5,6 +5,7 @@ import hashlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import common, warc
 
@@ -55,3 +56,26 @@ def test_broken_archives_are_errors():
         list(warc.parse(io.BytesIO(b"nonsense\r\n")))
     with pytest.raises(ValueError):
         list(warc.parse(io.BytesIO(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")))
+
+
+def test_each_payload_is_archived_once_whatever_the_rows_come_from(spark):
+    base = spark.range(40_000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("payload " * 20), (F.col("id") % 5000).cast("string")).alias("html"))
+    for pages in (base.repartition(6), base.orderBy(F.md5("html")), base.repartition(7, "html").hint("merge").join(base.select("page_id").repartition(3).hint("merge"), "page_id")):
+        got = warc.round_trip(pages, payloads=False)
+        r = got.agg(F.count("*").alias("n"), F.count_if(F.col("record.type") == "response").alias("kept"), F.count_if(F.col("refers_to_page").isNotNull()).alias("refer"), F.count_if(F.col("refers_to_page") >= 5000).alias("odd")).first()
+        assert (r.n, r.kept, r.refer, r.odd) == (40_000, 5000, 35_000, 0)
+
+
+def test_file_systems_of_hadoop_folders(tmp_path):
+    assert warc.file_system(f"file://{tmp_path}")[1] == str(tmp_path) and warc.file_system(f"file:{tmp_path}")[1] == str(tmp_path)
+    assert warc.file_system(str(tmp_path))[1] == str(tmp_path)
+    with pytest.raises(ValueError, match="oddfs"):
+        warc.file_system("oddfs://x/y")
+
+
+def test_roles_do_not_depend_on_how_the_payloads_are_met(spark):
+    rows = [(1, "a", "x" * 200), (1, "a", "x" * 200), (1, "b", "x" * 200), (None, "a", "x" * 200), (2, "c", "y" * 150), (3, "c", "y" * 150), (4, None, "z" * 101), (5, "e", "short"), (5, "e", "short")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    for most in (200_000, 0):
+        got = sorted((r.page_id or 0, r.url or "", r.role) for r in warc.plan(pages, broadcast_rows=most).collect())
+        assert got == [(0, "a", "again"), (1, "a", "again"), (1, "a", "first"), (1, "b", "again"), (2, "c", "first"), (3, "c", "again"), (4, "", "own"), (5, "e", "own"), (5, "e", "own")]
