@@ -21,24 +21,31 @@ def _descending(text: str) -> Column:
     return F.rpad(F.translate(start, "0123456789ABCDEF", "FEDCBA9876543210"), 2 * _TIE_BYTES, "G")
 
 
-def _bounds(rows: DataFrame, pair: Column, ranges: int, n: int) -> Column:
-    """The ranges' lower bounds, an array of pairs in ascending order, nulls first: quantiles of a sample
-    of about 16 rows a range, chosen by a hash. A key that many rows share is cut into several ranges by its tie."""
+def _bounds(rows: DataFrame, pair: Column, ranges: int, n: int) -> list[tuple[int | None, str]]:
+    """The ranges' lower bounds (key, tie) in ascending order, nulls first: quantiles of a sample of about
+    16 rows a range, chosen by a hash. A key that many rows share is cut into several ranges by its tie."""
     sample = rows.select(pair.alias("p")).where(common.share_below(_PER_RANGE * ranges / max(1, n), F.col("p"))).select("p.*")
     found = sorted((k is not None, k or 0, t) for k, t in zip(*(c.to_pylist() for c in sample.toArrow().columns)))
-    pairs = sorted({found[i] for i in np.linspace(0, len(found) - 1, ranges + 1).round().astype(int)[1:-1]}) if found else []
-    if not pairs:
-        return F.array().cast("array<struct<k:bigint,t:string>>")
-    keys = F.split(F.lit(",".join(str(k) if known else "" for known, k, _ in pairs)), ",")
-    ties = F.split(F.lit(",".join(t for _, _, t in pairs)), ",")
-    return F.zip_with(keys, ties, lambda k, t: F.struct(F.when(k != "", k).cast("bigint").alias("k"), t.alias("t")))
+    picked = sorted({found[i] for i in np.linspace(0, len(found) - 1, ranges + 1).round().astype(int)[1:-1]}) if found else []
+    return [(k if known else None, t) for known, k, t in picked]
 
 
-def _range_of(bounds: Column, pair: Column, ranges: int) -> Column:
-    """How many bounds are not above the pair: a binary search."""
-    steps = [1 << b for b in reversed(range(max(1, ranges).bit_length() + 1))]
-    size = F.size(bounds)
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= size) & (F.get(bounds, at + step - 1) <= pair), at + step).otherwise(at))
+def _search(size: int, not_above) -> Column:
+    """How many of `size` ascending bounds are not above the row's place; not_above tells it of the bound at an index."""
+    steps = [1 << b for b in reversed(range(size.bit_length()))]
+    if not steps:
+        return F.lit(0)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= size) & not_above(at + step - 1), at + step).otherwise(at))
+
+
+def _range_of(bounds: list[tuple[int | None, str]], key: Column, tie: Column) -> Column:
+    """The range of a row. Bounds are constants of the plan (a split text, which the optimizer folds)."""
+    nulls, others = [t for k, t in bounds if k is None], [(k, t) for k, t in bounds if k is not None]
+    constant = lambda values: F.split(F.lit(",".join(map(str, values))), ",")
+    null_ties, keys, ties = constant(nulls), constant([k for k, _ in others]).cast("array<bigint>") if others else None, constant([t for _, t in others])
+    among_nulls = _search(len(nulls), lambda i: F.get(null_ties, i) <= tie)
+    among_others = _search(len(others), lambda i: (F.get(keys, i) < key) | (F.get(keys, i) == key) & (F.get(ties, i) <= tie))
+    return F.when(key.isNull(), among_nulls).otherwise(F.lit(len(nulls)) + among_others)
 
 
 def with_next(rows: DataFrame, key: str, tie: str, carry: dict[str, str], rows_per_range: int = 2000) -> tuple[DataFrame, Window]:
@@ -55,7 +62,7 @@ def with_next(rows: DataFrame, key: str, tie: str, carry: dict[str, str], rows_p
     n = rows.count()
     ranges = max(1, min(MOST_RANGES, n // rows_per_range))
     pair = F.struct(F.col(key).alias("k"), _descending(tie).alias("t"))
-    place = _range_of(_bounds(rows, pair, ranges, n), pair, ranges) if ranges > 1 else F.lit(0)
+    place = _range_of(_bounds(rows, pair, ranges, n), F.col(key), _descending(tie)) if ranges > 1 else F.lit(0)
     dealt = rows.withColumn("_range", place.cast("int"))
     heads = dealt.groupBy("_range").agg(F.max(pair).alias("_head"))
     by_range = Window.orderBy(F.col("_range").desc())
