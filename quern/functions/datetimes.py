@@ -101,3 +101,9 @@ def days_between(a: Column, b: Column) -> Column:
 def series(start: Column, stop: Column, step: str) -> Column:
     """generate_series over time; explode it for rows."""
     return F.sequence(start, stop, F.expr(f"INTERVAL {step}"))
+
+
+def isfinite(x: Column) -> Column:
+    """isfinite(date, timestamp or float): dates and times have no infinities here."""
+    text = F.lower(x.cast("string"))
+    return F.when(x.isNotNull(), ~text.isin("infinity", "-infinity", "nan"))

@@ -67,6 +67,103 @@ def set_key(doc: Column, key: str, value: Column) -> Column:
     return F.to_json(F.map_concat(F.map_filter(F.from_json(doc, "map<string,string>"), lambda k, _: k != key), F.create_map(F.lit(key), value)))
 
 
+def _items(doc: Column, key: int) -> tuple[Column, Column, Column]:
+    """An array's elements, their number, and the place from 0 that key names (from the end if negative)."""
+    items = F.from_json(doc, "array<variant>")
+    size = F.size(items)
+    return items, size, F.lit(key) if key >= 0 else size + key
+
+
+def _has(doc: Column, key: str | int) -> Column:
+    if isinstance(key, str):
+        return has_key(doc, key)
+    _, size, at = _items(doc, key)
+    return F.coalesce((at >= 0) & (at < size), F.lit(False))
+
+
+def _member(doc: Column, key: str | int) -> Column:
+    """One member or element as JSON text."""
+    if isinstance(key, str):
+        return F.to_json(F.try_element_at(F.from_json(doc, "map<string,variant>"), F.lit(key)))
+    items, _, at = _items(doc, key)
+    return F.to_json(F.get(items, at))
+
+
+def _splice(doc: Column, key: int, new: Column | None, skip: int) -> Column:
+    """The array with `skip` elements at the place taken out and the new one put there."""
+    items, size, at = _items(doc, key)
+    at = F.least(F.greatest(at, F.lit(0)), size)
+    tail = F.slice(items, at + 1 + skip, size)
+    return F.to_json(F.concat(F.slice(items, F.lit(1), at), tail) if new is None else F.concat(F.slice(items, F.lit(1), at), F.array(F.parse_json(new)), tail))
+
+
+def _put(doc: Column, key: str | int, new: Column) -> Column:
+    if isinstance(key, int):
+        return _splice(doc, key, new, 1)
+    return concat_docs(doc, F.concat(F.to_json(F.array(F.lit(key))).substr(F.lit(2), F.length(F.to_json(F.array(F.lit(key)))) - 2), F.lit(":"), new), wrap=True)
+
+
+def _edit(doc: Column, path: list[str | int], last) -> Column:
+    """last(container, step) applied where the path ends; doc as it is where a step before is missing."""
+    head, rest = path[0], path[1:]
+    if not rest:
+        return last(doc, head)
+    return F.when(_has(doc, head), _put(doc, head, _edit(_member(doc, head), rest, last))).otherwise(doc)
+
+
+def concat_docs(a: Column, b: Column, wrap: bool = False) -> Column:
+    """a || b of two objects (b's members win) or two arrays; an object meets an array as an element of it."""
+    if wrap:
+        b = F.concat(F.lit("{"), b, F.lit("}"))
+    one, two = F.from_json(a, "map<string,variant>"), F.from_json(b, "map<string,variant>")
+    objects = F.to_json(F.map_concat(F.map_filter(one, lambda k, _: ~F.array_contains(F.map_keys(two), k)), two))
+    if wrap:
+        return objects
+    listed = lambda d: F.when(typeof(d) == "array", F.from_json(d, "array<variant>")).otherwise(F.array(F.parse_json(d)))
+    return F.when((typeof(a) == "object") & (typeof(b) == "object"), objects).otherwise(F.to_json(F.concat(listed(a), listed(b))))
+
+
+def set_path(doc: Column, path: list[str | int], value: Column, create: bool = True) -> Column:
+    """jsonb_set(doc, path, value as JSON text, create): create adds a missing last key, and puts a missing position
+    at the array's end (or its start, if negative). A null value gives null."""
+
+    def last(d: Column, key: str | int) -> Column:
+        missing = d if not create else _put(d, key, value) if isinstance(key, str) else _splice(d, key, value, 0)
+        return F.when(_has(d, key), _put(d, key, value)).otherwise(missing)
+
+    return F.when(value.isNotNull(), _edit(doc, path, last))
+
+
+def insert_path(doc: Column, path: list[str | int], value: Column, after: bool = False) -> Column:
+    """jsonb_insert: before (or after) a position of an array; a new key of an object, an error if it is there."""
+
+    def last(d: Column, key: str | int) -> Column:
+        if isinstance(key, str):
+            return F.when(has_key(d, key), F.raise_error(F.lit(f"cannot replace existing key {key}")).cast("string")).otherwise(_put(d, key, value))
+        return F.when(_has(d, key), _splice(d, key + 1 if after and key != -1 else key, value, 0) if not (after and key == -1) else _splice(d, 1 << 30, value, 0)).otherwise(_splice(d, key, value, 0))
+
+    return F.when(value.isNotNull(), _edit(doc, path, last))
+
+
+def delete_path(doc: Column, path: list[str | int]) -> Column:
+    """doc #- path, and doc - key with a path of one step; a missing step leaves doc as it is."""
+
+    def last(d: Column, key: str | int) -> Column:
+        if isinstance(key, str):
+            gone = F.to_json(F.map_filter(F.from_json(d, "map<string,variant>"), lambda k, _: k != key))
+        else:
+            gone = _splice(d, key, None, 1)
+        return F.when(_has(d, key), gone).otherwise(d)
+
+    return _edit(doc, path, last)
+
+
+def json_scalar(x: Column) -> Column:
+    """JSON_SCALAR(x): a text as a JSON string, numbers and truth values as they are; null stays null."""
+    one = F.to_json(F.struct(x.alias("x")))
+    return F.when(x.isNotNull(), one.substr(F.lit(6), F.length(one) - 6))
+
+
 def json_value(doc: Column, path: str, kind: str = "string", on_empty=None) -> Column:
     """JSON_VALUE(doc, path RETURNING kind DEFAULT on_empty ON EMPTY NULL ON ERROR)"""
     value = F.get_json_object(doc, path).try_cast(kind)

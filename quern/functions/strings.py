@@ -165,6 +165,12 @@ def date_template(template: str) -> str:
     return "".join(out) + ("'" + plain.replace("'", "''") + "'" if plain else "")
 
 
+def substring_pattern(s: Column, pattern: str) -> Column:
+    """substring(s FROM pattern): the first group of the first match, all of it where there is no group, null without a match."""
+    group = 1 if re.compile(pattern).groups else 0
+    return F.when(F.regexp_like(s, F.lit(pattern)), F.regexp_extract(s, pattern, group))
+
+
 def to_char(x: Column, template: str) -> Column:
     return F.date_format(x, date_template(template))
 

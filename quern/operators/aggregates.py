@@ -71,8 +71,14 @@ def range_agg(df: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
     return numbered.groupBy(*keys, "_island").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("_island")
 
 
-def vector_avg(df: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """Element-wise mean of arrays: partial sums by position, then one array a key."""
+def range_intersect_agg(low: Column, high: Column) -> Column:
+    """range_intersect_agg of half-open [low, high): struct of low and high, both null where nothing is common."""
+    first, last = F.max(low), F.min(high)
+    return F.struct(F.when(first < last, first).alias("low"), F.when(first < last, last).alias("high"))
+
+
+def vector_avg(df: DataFrame, keys: list[str], col: str, how=F.avg) -> DataFrame:
+    """Element-wise mean (or sum: how=F.sum) of arrays: partial sums by position, then one array a key."""
     at = df.select(*keys, F.posexplode(col).alias("_i", "_x"))
-    means = at.groupBy(*keys, "_i").agg(F.avg("_x").alias("_m"))
+    means = at.groupBy(*keys, "_i").agg(how("_x").alias("_m"))
     return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda r: r["_m"]).alias(col))

@@ -99,3 +99,15 @@ def agg_approx_distinct(t: Tables):
     """Within 5% of the exact count."""
     got = t.lineitem.agg(F.approx_count_distinct("l_orderkey", 0.01).alias("x"), F.count_distinct("l_orderkey").alias("y"))
     return got.where("abs(x - y) <= 0.05 * y").agg(F.count("*").alias("n"))
+
+
+@query("SELECT label, CAST(i AS INT) AS i, round(sum(x), 5) AS s FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i")
+def agg_vector_sum(t: Tables):
+    sums = a.vector_avg(t.embeddings.select("label", F.col("embedding").cast("array<double>").alias("v")), ["label"], "v", F.sum)
+    return sums.select("label", F.posexplode("v").alias("p", "x")).select("label", (F.col("p") + 1).alias("i"), F.round("x", 5).alias("s"))
+
+
+@query("SELECT l_orderkey, CASE WHEN lo < hi THEN lo END AS low, CASE WHEN lo < hi THEN hi END AS high FROM (SELECT l_orderkey, max(CAST(l_shipdate AS DATE)) AS lo, min(CAST(l_shipdate AS DATE)) + 30 AS hi FROM lineitem GROUP BY 1)")
+def agg_range_intersect(t: Tables):
+    day = F.col("l_shipdate").cast("date")
+    return t.lineitem.groupBy("l_orderkey").agg(a.range_intersect_agg(day, F.date_add(day, 30)).alias("r")).select("l_orderkey", "r.*")

@@ -123,3 +123,13 @@ def vec_arithmetic(t: Tables):
 def vec_sparse_bits(t: Tables):
     x = F.array(*[F.lit(e) for e in (1.5, 0.0, 2.0, 0.0)])
     return t.spark.range(1).select(v.to_sparse(x).alias("s"), v.binary_quantize(x).alias("q"), v.hamming_distance(v.binary_quantize(x), F.lit("1110")).alias("h"))
+
+
+@query()
+def vec_inverted_lists(t: Tables):
+    """The 10 nearest rows of each row whose id is divisible by 100, from the 12 of 16 lists around it; every row is in a list."""
+    from quern.operators import vectors
+
+    rows = t.embeddings.select("vec_id", "embedding")
+    c = vectors.centres(rows, "embedding", 16)
+    return vectors.search_many(vectors.assign(rows, "embedding", c), rows.where("vec_id % 100 = 0"), "embedding", c, 10, 12, "vec_id")

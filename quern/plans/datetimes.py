@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import datetimes as d
+from quern.functions import templates
 from quern.plans.registry import Tables, portable, query
 
 portable("dt_trunc_group", "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ) AS m, count(*) AS n FROM {orders} GROUP BY date_trunc('month', o_orderdate)", "SELECT date_trunc('month', o_orderdate) AS m, count(*) AS n FROM {orders} GROUP BY 1")
@@ -63,3 +64,16 @@ def dt_at_time_zone(t: Tables):
 def dt_interval_order(t: Tables):
     rows = t.spark.createDataFrame([(1, 30), (1, 31), (2, 59)], "a int, b int")
     return rows.select("a", "b", (d.interval_order(d.interval(F.col("a"))) < d.interval_order(d.interval(0, F.col("b")))).alias("lt"))
+
+
+@query("SELECT event_id, make_timestamp(event_id * 86400500000) AS a FROM events")
+def dt_to_timestamp_epoch(t: Tables):
+    return t.events.select("event_id", templates.from_epoch(F.col("event_id") * 86400.5).alias("a"))
+
+
+portable("dt_value_functions", "SELECT r_regionkey, now() = current_timestamp() AS a, CAST(current_timestamp() AS DATE) = current_date() AS b, now() > TIMESTAMP '2020-01-01' AS c, current_user() IS NOT NULL AS d, CAST(localtimestamp() AS DATE) = current_date() AS e FROM {region}", "SELECT r_regionkey, now() = current_timestamp AS a, CAST(current_localtimestamp() AS DATE) = CAST(current_timestamp AS DATE) AS b, now() > TIMESTAMPTZ '2020-01-01' AS c, current_user IS NOT NULL AS d, CAST(localtimestamp AS DATE) = CAST(current_timestamp AS DATE) AS e FROM region")
+
+
+@query("SELECT o_orderkey, isfinite(o_orderdate) AS a, isfinite(o_totalprice / 2) AS b FROM orders")
+def dt_isfinite(t: Tables):
+    return t.orders.select("o_orderkey", d.isfinite(F.col("o_orderdate")).alias("a"), d.isfinite(F.col("o_totalprice") / 2).alias("b"))

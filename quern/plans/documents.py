@@ -101,3 +101,19 @@ def str_parse_ident(t: Tables):
     from quern.functions.documents import parse_ident
 
     return t.spark.createDataFrame([('Sch."My Tab".col',), ("1bad",)], "n string").select("n", parse_ident("n").alias("p"))
+
+
+@query("SELECT event_id, json_merge_patch(props, '{\"k\":\"v\"}') AS a, json_merge_patch(props, '{\"z\":[1,2]}') AS b, json_merge_patch(props, '{\"k\":null}') AS c, json_merge_patch(props, '{\"k\":{\"q\":1},\"y\":2}') AS d FROM events")
+def json_edit(t: Tables):
+    """jsonb_set of an old and a new key, #-, and ||."""
+    doc = F.col("props")
+    edits = {"a": j.set_path(doc, ["k"], F.lit('"v"')), "b": j.set_path(doc, ["z"], F.lit("[1,2]")), "c": j.delete_path(doc, ["k"]), "d": j.concat_docs(doc, F.lit('{"k":{"q":1},"y":2}'))}
+    return t.events.select("event_id", *[e.alias(n) for n, e in edits.items()])
+
+
+@query("SELECT n_nationkey, CAST(to_json([n_nationkey, 7, n_regionkey]) AS VARCHAR) AS a, CAST(to_json([n_nationkey, n_regionkey, 7]) AS VARCHAR) AS b, CAST(to_json([n_nationkey]) AS VARCHAR) AS c, CAST(to_json(n_name) AS VARCHAR) AS d FROM nation")
+def json_insert_scalar(t: Tables):
+    """jsonb_insert before and after a position, - position, JSON_SCALAR."""
+    doc = F.to_json(F.array(F.col("n_nationkey"), F.col("n_regionkey")))
+    edits = {"a": j.insert_path(doc, [1], F.lit("7")), "b": j.insert_path(doc, [1], F.lit("7"), after=True), "c": j.delete_path(doc, [-1]), "d": j.json_scalar(F.col("n_name"))}
+    return t.nation.select("n_nationkey", *[e.alias(n) for n, e in edits.items()])

@@ -46,3 +46,10 @@ def srf_regexp_matches(t: Tables):
 @query("SELECT event_id, unnest(json_keys(props)) AS k FROM events")
 def srf_json_object_keys(t: Tables):
     return t.events.select("event_id", F.explode(F.json_object_keys("props")).alias("k"))
+
+
+@query("SELECT p_partkey, unnest(string_split_regex(p_name, '[aeiou]+')) AS part FROM part")
+def srf_regexp_split_to_table(t: Tables):
+    from quern.operators.srf import regexp_split
+
+    return t.part.select("p_partkey", F.explode(regexp_split(F.col("p_name"), "[aeiou]+")).alias("part"))

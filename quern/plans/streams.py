@@ -47,6 +47,29 @@ def stream_session(t: Tables):
     return out.select("user_id", *_ntz("start", "end"), "n")
 
 
+@query("SELECT s AS start, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY 1")
+def stream_sliding_stateful(t: Tables):
+    """The same windows by a stateful stream in complete mode."""
+    stream = events.sliding(_stream(t), "ts", "2 hours", "1 hour", [], delay="30 days", n=F.count("*"))
+    return events.run_to_table(stream, f"quern_{uuid.uuid4().hex}", "complete").select(*_ntz("start"), "n")
+
+
+@query("""SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", CAST(count(*) AS BIGINT) AS n FROM (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (
+SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f FROM events)) GROUP BY user_id, g""")
+def stream_session_stateful(t: Tables):
+    """The same sessions by a stateful stream in complete mode."""
+    stream = events.session(_stream(t), "ts", "6 hours", ["user_id"], delay="30 days", n=F.count("*"))
+    return events.run_to_table(stream, f"quern_{uuid.uuid4().hex}", "complete").select("user_id", *_ntz("start", "end"), "n")
+
+
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1")
+def stream_view_upkeep(t: Tables):
+    """An aggregate view kept by foreachBatch."""
+    path, sums = files.new_path(t.spark, "view"), {"n": "1", "total": "value"}
+    events.keep_view(_stream(t), path, ["event_type"], sums)
+    return events.read_view(t.spark, path, ["event_type"], sums).withColumn("total", F.round("total", 3))
+
+
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1")
 def stream_custom_state(t: Tables):
     """The last row of each key of a stream with custom state."""

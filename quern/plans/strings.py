@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import strings as s
+from quern.functions import templates
 from quern.plans.registry import Tables, portable, query
 
 portable("str_length_case", "SELECT p_partkey, CAST(length(p_name) AS BIGINT) AS n, CAST(octet_length(p_name) AS BIGINT) AS b, upper(p_name) AS u, lower(p_type) AS l FROM {part}", "SELECT p_partkey, length(p_name) AS n, octet_length(encode(p_name)) AS b, upper(p_name) AS u, lower(p_type) AS l FROM {part}")
@@ -94,6 +95,23 @@ def str_to_char_dates(t: Tables):
     return t.orders.select("o_orderkey", s.to_char(F.col("o_orderdate"), "YYYY-MM-DD HH24:MI").alias("a"), s.to_char(F.col("o_orderdate"), "DD/MM/YY").alias("b"))
 
 
+@query(r"SELECT c_custkey, lpad(regexp_replace(format('{:,.2f}', c_acctbal), '^(-?)0\.', '\1.'), 11, ' ') AS a, lpad(CAST(CAST(round(c_acctbal) AS BIGINT) AS VARCHAR), 6, ' ') AS b, CASE WHEN c_acctbal < 0 THEN '<' || lpad(CAST(CAST(abs(round(c_acctbal)) AS BIGINT) AS VARCHAR), 5, '0') || '>' ELSE ' ' || lpad(CAST(CAST(round(c_acctbal) AS BIGINT) AS VARCHAR), 5, '0') || ' ' END AS c FROM customer")
+def str_to_char_numbers(t: Tables):
+    x = F.col("c_acctbal")
+    return t.customer.select("c_custkey", *[templates.number_to_char(x, f).alias(n) for n, f in (("a", "999,999.99"), ("b", "99999"), ("c", "00000PR"))])
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS a, CAST(o_orderdate AS DATE) AS b FROM orders")
+def str_to_timestamp(t: Tables):
+    at = F.col("o_orderdate")
+    return t.orders.select("o_orderkey", templates.to_timestamp(s.to_char(at, "DD.MM.YYYY HH24:MI:SS"), "DD.MM.YYYY HH24:MI:SS").alias("a"), templates.to_date(s.to_char(at, "YYYYMMDD"), "YYYYMMDD").alias("b"))
+
+
+@query("SELECT p_partkey, CASE WHEN regexp_matches(p_name, '[aeiou]{2}') THEN regexp_extract(p_name, '[aeiou]{2}') END AS a, CASE WHEN regexp_matches(p_type, '([A-Z]+) ([A-Z]+)$') THEN regexp_extract(p_type, '([A-Z]+) ([A-Z]+)$', 1) END AS b FROM part")
+def str_substring_pattern(t: Tables):
+    return t.part.select("p_partkey", s.substring_pattern(F.col("p_name"), "[aeiou]{2}").alias("a"), s.substring_pattern(F.col("p_type"), "([A-Z]+) ([A-Z]+)$").alias("b"))
+
+
 @query("SELECT s, CAST(n AS DOUBLE) AS n FROM (VALUES ('12,454.8-', -12454.8), ('00012', 12), ('1.5', 1.5)) v(s, n)")
 def str_to_number(t: Tables):
     rows = t.spark.createDataFrame([("12,454.8-",), ("00012",), ("1.5",)], "s string")

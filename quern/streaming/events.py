@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -55,6 +55,21 @@ def running_totals(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.select(key, value).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n bigint, total double", "n bigint, total double", "update", GroupStateTimeout.NoTimeout)
 
 
+def keep_view(stream: DataFrame, path: str, keys: list[str], sums: dict[str, str]) -> None:
+    """Upkeep of an aggregate view: each micro-batch adds its own partial sums below path, under its number, so a batch that
+    runs twice after a failure replaces what it wrote. sums: name to SQL expression, summed; read with read_view."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.groupBy(*keys).agg(*[F.sum(F.expr(e)).alias(n) for n, e in sums.items()]).write.mode("overwrite").parquet(f"{path}/parts/batch={number}")
+
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+
+
+def read_view(spark: SparkSession, path: str, keys: list[str], sums: dict[str, str]) -> DataFrame:
+    """The view that keep_view holds: its parts added up."""
+    return spark.read.parquet(f"{path}/parts").groupBy(*keys).agg(*[F.sum(n).alias(n) for n in sums])
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
     """Runs a stream over what is there now and returns its result (for tests and small results)."""
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)

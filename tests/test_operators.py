@@ -231,3 +231,52 @@ def test_long_and_endless_ranges_have_few_bins(spark):
     other = r.select(F.col("r").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     both = sorted(((a, b) for a, l1, h1 in ranges_ for b, l2, h2 in ranges_ if l1 <= h1 and l2 <= h2 and l1 <= h2 and l2 <= h1), key=repr)
     assert rows(joins.overlapping(r, other, ("lo", "lo2"), ("hi", "hi2"), 0.5).select("r", "q")) == both
+
+
+def test_inverted_lists_reach_the_true_neighbours(spark):
+    """Recall of the registered query's lists against all pairs, its queries against all rows."""
+    from quern.operators import vectors
+    from quern.plans import catalog
+
+    sf = "/root/testdata/sf0.01"
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    one = vectors.centres(df, "embedding", 1)
+    exact = vectors.search_many(vectors.assign(df, "embedding", one), df.where("vec_id % 100 = 0"), "embedding", one, 10, 1, "vec_id")
+    got = catalog.queries()["vec_inverted_lists"](spark, sf)
+    want = {(r.query_id, r.vec_id) for r in exact.collect()}
+    assert want and len(want & {(r.query_id, r.vec_id) for r in got.collect()}) >= 0.9 * len(want)
+    brute = {r.vec_id for r in df.crossJoin(df.where("vec_id = 100").select(F.col("embedding").alias("q"))).orderBy(F.expr("aggregate(zip_with(embedding, q, (a, b) -> (double(a) - b) * (double(a) - b)), 0d, (s, x) -> s + x)"), "vec_id").limit(10).collect()}
+    assert brute == {v for q, v in want if q == 100}
+
+
+def test_numbers_and_dates_by_template(spark):
+    from quern.functions import templates
+
+    def shown(x, template):
+        return spark.createDataFrame([(x,)], "x double").select(templates.number_to_char(F.col("x"), template)).first()[0]
+
+    assert [shown(x, "999,999.99") for x in (12454.8, -485.0, 0.1, 1234567.0, None)] == ["  12,454.80", "    -485.00", "        .10", " ###,###.##", None]
+    assert [shown(x, "FM999.99") for x in (148.5, -485.0, 0.0, -0.1)] == ["148.5", "-485.", "0.", "-.1"]
+    assert [shown(-12.0, f) for f in ("999MI", "999PR", "0009", "9")] == [" 12-", " <12>", "-0012", "-#"]
+    with pytest.raises(ValueError):
+        templates.number_to_char(F.lit(1), "9V9")
+    bad = spark.range(1).select(templates.to_date(F.lit("2024-13-01"), "YYYY-MM-DD").alias("d"), templates.to_timestamp(F.lit(None).cast("string"), "YYYY").alias("t"))
+    assert tuple(bad.first()) == (None, None)
+
+
+def test_json_edits_by_path(spark):
+    from quern.functions import jsons as j
+
+    def done(edit, doc='{"a":1,"b":{"c":[10,20,"x"]}}'):
+        return spark.createDataFrame([(doc,)], "d string").select(edit(F.col("d"))).first()[0]
+
+    assert done(lambda d: j.set_path(d, ["b", "c", 1], F.lit('{"z":null}'))) == '{"a":1,"b":{"c":[10,{"z":null},"x"]}}'
+    assert done(lambda d: j.set_path(d, ["b", "c", 9], F.lit("5"))) == '{"a":1,"b":{"c":[10,20,"x",5]}}'
+    assert done(lambda d: j.set_path(d, ["b", "c", -9], F.lit("5"))) == '{"a":1,"b":{"c":[5,10,20,"x"]}}'
+    assert done(lambda d: j.set_path(d, ["q", "c"], F.lit("5"))) == done(lambda d: j.set_path(d, ["q"], F.lit("5"), create=False)) == '{"a":1,"b":{"c":[10,20,"x"]}}'
+    assert done(lambda d: j.insert_path(d, ["b", "c", -1], F.lit("7"), after=True)) == '{"a":1,"b":{"c":[10,20,"x",7]}}'
+    assert done(lambda d: j.delete_path(d, ["b", "c", -1])) == '{"a":1,"b":{"c":[10,20]}}'
+    assert done(lambda d: j.concat_docs(d, F.lit('{"b":2}')), "[1]") == '[1,{"b":2}]'
+    assert done(lambda d: j.set_path(d, ["a"], F.lit("1")), None) is None
+    with pytest.raises(Exception, match="cannot replace existing key"):
+        done(lambda d: j.insert_path(d, ["a"], F.lit("1")))
