@@ -117,6 +117,37 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(F.array_union(x, y)) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
+def _ordered_trigrams(word: Column) -> Column:
+    """A word's trigrams in their order, two blanks before it and one after."""
+    return F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substring(F.concat(F.lit("  "), word, F.lit(" ")), i, F.lit(3)))
+
+
+def _best_extent(a: Column, pieces: Column) -> Column:
+    """The greatest similarity of a's trigrams to those of any run of neighbours among pieces (arrays of trigrams)."""
+    x, n = trigrams(a), F.size(pieces)
+
+    def score(run: Column) -> Column:
+        return F.size(F.array_intersect(x, run)) / F.greatest(F.size(F.array_union(x, run)), F.lit(1))
+
+    runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_max(F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: score(F.flatten(F.slice(pieces, i, k))))))
+    return F.when(a.isNull() | pieces.isNull(), None).when((n == 0) | (F.size(x) == 0), F.lit(0.0)).otherwise(F.array_max(runs))
+
+
+def _words_of(s: Column) -> Column:
+    return F.filter(F.split(F.lower(s), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def word_similarity(a: Column, b: Column) -> Column:
+    """Similarity of a's trigrams to those of the best run of b's, in their order. Time grows with the cube of b's length: for words and names."""
+    singles = F.transform(F.flatten(F.transform(_words_of(b), _ordered_trigrams)), lambda g: F.array(g))
+    return _best_extent(a, singles)
+
+
+def strict_word_similarity(a: Column, b: Column) -> Column:
+    """The same over runs of b's whole words."""
+    return _best_extent(a, F.transform(_words_of(b), _ordered_trigrams))
+
+
 def difference(a: Column, b: Column) -> Column:
     """How many of the four places of two soundex codes are equal."""
     return F.size(F.filter(F.zip_with(F.split(F.soundex(a), ""), F.split(F.soundex(b), ""), lambda x, y: x == y), lambda e: e))

@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str], strict: bool = False) -> DataFrame:
-    """For each left row the last right row of the same key at or before its time (ties: any one).
+def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str], strict: bool = False, width: float | None = None) -> DataFrame:
+    """For each left row the last right row of the same key at or before its time (ties: any one); null keys and times meet nothing.
 
     One union, one shuffle on the key and one sort; the running last value fills in. No row pairs are made.
+    width: where a key may hold a large part of the rows, the time (seconds, or the number itself) that one task sorts of
+    it. Each span then starts from the last right row of the spans before, found over one row a key and span.
     """
     order = F.lit(0 if strict else 1)
     mark = F.struct(*[F.col(c) for c in columns])
     blank = F.lit(None).cast(right.select(mark.alias("x")).schema["x"].dataType)
+    right = right.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*by, right_time]]))
     a = left.withColumns({"_time": F.col(left_time), "_side": order, "_from": blank})
     b = right.select(*by, F.col(right_time).alias("_time"), F.lit(1 if strict else 0).alias("_side"), mark.alias("_from"))
     both = a.withColumn("_left", F.lit(True)).unionByName(b, allowMissingColumns=True)
-    window = Window.partitionBy(*by).orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = list(by)
+    if width is not None:
+        seconds = F.col("_time").cast("timestamp") if "time" in dict(both.dtypes)["_time"] or dict(both.dtypes)["_time"] == "date" else F.col("_time")
+        both = both.withColumn("_span", F.floor(seconds.cast("double") / width))
+        ends = both.groupBy(*by, "_span").agg(F.max_by("_from", F.when(F.col("_left").isNull(), F.col("_time"))).alias("_end"), F.max("_left").alias("_asked"))
+        before = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+        starts = ends.withColumn("_from", F.last("_end", ignorenulls=True).over(before)).where("_asked AND _from IS NOT NULL")
+        both = both.unionByName(starts.select(*by, "_span", F.lit(-1).alias("_side"), "_from"), allowMissingColumns=True)
+        spans.append("_span")
+    # A row without a time comes first: the start of its span.
+    window = Window.partitionBy(*spans).orderBy(F.col("_time").asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("_found", F.last("_from", ignorenulls=True).over(window)).where("_left")
     return found.select(*left.columns, *[F.col(f"_found.{c}").alias(c) for c in columns])
 

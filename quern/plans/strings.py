@@ -134,3 +134,18 @@ def str_bit_strings(t: Tables):
 @query()
 def str_metaphone(t: Tables):
     return t.part.select("p_partkey", s.metaphone_key("p_name").alias("m"))
+
+
+_TRIGRAMS = "list_transform(range(1, len({0}) + 2), lambda i: substr('  ' || {0} || ' ', i, 3))"
+
+
+@query(f"""WITH n AS (SELECT n_nationkey, regexp_extract_all(lower(n_name), '[a-z]+') AS ws FROM nation), r AS (SELECT r_regionkey, {_TRIGRAMS.format("lower(r_name)")} AS x FROM region),
+t AS (SELECT n_nationkey, ws, flatten(list_transform(ws, lambda w: {_TRIGRAMS.format("w")})) AS y FROM n),
+loose AS (SELECT n_nationkey, y[i:j] AS run FROM (SELECT n_nationkey, y, i, unnest(range(i, len(y) + 1)) AS j FROM (SELECT n_nationkey, y, unnest(range(1, len(y) + 1)) AS i FROM t))),
+strict AS (SELECT n_nationkey, flatten(list_transform(ws[i:j], lambda w: {_TRIGRAMS.format("w")})) AS run FROM (SELECT n_nationkey, ws, i, unnest(range(i, len(ws) + 1)) AS j FROM (SELECT n_nationkey, ws, unnest(range(1, len(ws) + 1)) AS i FROM t))),
+s AS (SELECT *, 'a' AS kind FROM loose UNION ALL SELECT *, 'b' FROM strict),
+best AS (SELECT n_nationkey, r_regionkey, kind, max(len(list_intersect(x, run)) / len(list_distinct(list_concat(x, run)))) AS v FROM s, r GROUP BY 1, 2, 3)
+SELECT n_nationkey, r_regionkey, round(max(v) FILTER (WHERE kind = 'a'), 6) AS a, round(max(v) FILTER (WHERE kind = 'b'), 6) AS b FROM best GROUP BY 1, 2""")
+def str_word_similarity(t: Tables):
+    x, y = F.col("r_name"), F.col("n_name")
+    return t.nation.crossJoin(F.broadcast(t.region)).select("n_nationkey", "r_regionkey", F.round(s.word_similarity(x, y), 6).alias("a"), F.round(s.strict_word_similarity(x, y), 6).alias("b"))

@@ -280,3 +280,31 @@ def test_json_edits_by_path(spark):
     assert done(lambda d: j.set_path(d, ["a"], F.lit("1")), None) is None
     with pytest.raises(Exception, match="cannot replace existing key"):
         done(lambda d: j.insert_path(d, ["a"], F.lit("1")))
+
+
+def test_asof_by_spans_of_time(spark):
+    """A hot key in spans, null keys and times, against a plain loop."""
+    import random
+
+    deal = random.Random(5)
+    given = [(deal.choice([1, 1, 1, 2, None]), deal.choice([None, *range(-50, 150)]), i) for i in range(300)]
+    held = [(deal.choice([1, 1, 2, 3, None]), t, t and t * 10) for t in [None, *range(-60, 140, 7)]]
+    left, right = spark.createDataFrame(given, "k int, t int, i int"), spark.createDataFrame(held, "k int, s int, v int")
+    for strict in (False, True):
+        def last(k, t):
+            fits = [s for q, s, _ in held if q is not None and q == k and s is not None and t is not None and (s < t or (s == t and not strict))]
+            return max(fits) * 10 if fits else None
+
+        want = sorted(((k, t, i, last(k, t)) for k, t, i in given), key=repr)
+        for width in (None, 10, 1000, 1):
+            assert rows(joins.asof(left, right, ["k"], "t", "s", ["v"], strict, width)) == want
+    at = lambda df, c: df.withColumn(c, F.timestamp_seconds(c).cast("timestamp_ntz"))
+    assert rows(joins.asof(at(left, "t"), at(right, "s"), ["k"], "t", "s", ["v"], width=20.0).select("i", "v")) == rows(joins.asof(left, right, ["k"], "t", "s", ["v"]).select("i", "v"))
+
+
+def test_word_similarities_of_known_pairs(spark):
+    from quern.functions import strings as s
+
+    pairs = spark.createDataFrame([("word", "two words"), ("word", None), ("", "x")], "a string, b string")
+    got = pairs.select(F.round(s.word_similarity(F.col("a"), F.col("b")), 6), F.round(s.strict_word_similarity(F.col("a"), F.col("b")), 6)).collect()
+    assert [tuple(r) for r in got] == [(0.8, 0.571429), (None, None), (0.0, 0.0)]
