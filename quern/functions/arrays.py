@@ -79,3 +79,21 @@ def ltree_is_descendant(path: Column, ancestor: Column) -> Column:
 
 def ltree_level(path: Column) -> Column:
     return F.size(F.split(path, r"\."))
+
+
+def idx(a: Column, x: Column) -> Column:
+    """idx(): the first place of x from 1, 0 where it is not there."""
+    return F.coalesce(F.array_position(a, x), F.lit(0)).cast("int")
+
+
+def subarray(a: Column, start: int, count: int | None = None) -> Column:
+    """subarray(a, start, count): start from the end if negative; a negative count leaves off that many at the end."""
+    n = F.size(a)
+    first = F.lit(start - 1) if start > 0 else F.greatest(n + start, F.lit(0)) if start < 0 else F.lit(0)
+    many = n if count is None else F.lit(count) if count >= 0 else F.greatest(n + count - first, F.lit(0))
+    return F.slice(a, first + 1, many)
+
+
+def minus(a: Column, b: Column) -> Column:
+    """a - b: a's elements that b lacks, each once, ascending."""
+    return F.array_sort(F.array_except(a, b))

@@ -107,3 +107,8 @@ def isfinite(x: Column) -> Column:
     """isfinite(date, timestamp or float): dates and times have no infinities here."""
     text = F.lower(x.cast("string"))
     return F.when(x.isNotNull(), ~text.isin("infinity", "-infinity", "nan"))
+
+
+def make_timestamptz(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column, zone: str) -> Column:
+    """make_timestamptz(..., zone): the moment at which clocks in the zone show that."""
+    return F.make_timestamp(year, month, day, hour, minute, second.cast("decimal(16,6)"), F.lit(zone))

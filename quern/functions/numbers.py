@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -84,3 +84,8 @@ def scale(x: Column) -> Column:
 
 def money(x: Column) -> Column:
     return x.cast("decimal(19,2)")
+
+
+def normal_rand(spark, n: int, mean: float, deviation: float, seed: int | None = None) -> DataFrame:
+    """normal_rand(n, mean, deviation): n rows of one column x; seed is what setseed() is for."""
+    return spark.range(n).select((F.randn(seed) * deviation + mean).alias("x"))

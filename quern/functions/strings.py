@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import reduce
 
@@ -264,3 +265,16 @@ def metaphone_key(words: pd.Series) -> pd.Series:
         return (w[:1] + re.sub("[aeiou]", "", re.sub(r"(.)\1", r"\1", w[1:]))).upper()
 
     return words.map(one)
+
+
+def hmac_sha256(message: Column, key: bytes) -> Column:
+    """hmac(message, key, 'sha256') in hex, by two digests."""
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    pad = lambda mask: F.lit(bytearray(b ^ mask for b in key))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 256))
+    return F.sha2(F.concat(pad(0x5C), inner), 256)
+
+
+def random_uuid() -> Column:
+    """gen_random_uuid()"""
+    return F.uuid()

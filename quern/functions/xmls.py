@@ -39,3 +39,14 @@ def agg(x: Column, *order: Column) -> Column:
     from quern.operators.aggregates import array_agg
 
     return F.array_join(array_agg(x, *order), "")
+
+
+def pi(name: str, content: Column | None = None) -> Column:
+    """xmlpi(NAME name, content)"""
+    return F.lit(f"<?{name}?>") if content is None else F.concat(F.lit(f"<?{name} "), F.ltrim(content), F.lit("?>"))
+
+
+def root(doc: Column, version: str = "1.0", standalone: bool | None = None) -> Column:
+    """xmlroot(doc, VERSION version, STANDALONE yes|no): in place of a declaration that is there."""
+    alone = "" if standalone is None else f' standalone="{"yes" if standalone else "no"}"'
+    return F.concat(F.lit(f'<?xml version="{version}"{alone}?>'), F.regexp_replace(doc, r"^<\?xml\s[^>]*\?>", ""))

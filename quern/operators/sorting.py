@@ -42,3 +42,9 @@ def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """ORDER BY ... LIMIT k: every task keeps k rows (TakeOrderedAndProject)."""
     return df.orderBy(*order).limit(k)
 
+
+def using(c: str | Column, operator: str) -> Column:
+    """ORDER BY c USING operator: < and <= ascend, > and >= descend, with the defaults for nulls."""
+    if operator not in ("<", "<=", ">", ">="):
+        raise ValueError(f"operator {operator} is not a valid ordering operator")
+    return asc(c) if operator[0] == "<" else desc(c)

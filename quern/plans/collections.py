@@ -133,3 +133,11 @@ def vec_inverted_lists(t: Tables):
     rows = t.embeddings.select("vec_id", "embedding")
     c = vectors.centres(rows, "embedding", 16)
     return vectors.search_many(vectors.assign(rows, "embedding", c), rows.where("vec_id % 100 = 0"), "embedding", c, 10, 12, "vec_id")
+
+
+@query("SELECT o_custkey, x[2:3] AS s, CAST(coalesce(list_position(x, 3), 0) AS INT) AS p, list_sort(list_distinct(list_filter(x, lambda e: e NOT IN (1, 3)))) AS m FROM (SELECT o_custkey, list(CAST(o_orderkey % 7 AS INT) ORDER BY o_orderkey) AS x FROM orders GROUP BY 1)")
+def arr_int_functions(t: Tables):
+    """int_array_aggregate by order, subarray, idx and - of intarray."""
+    lists = t.orders.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", (F.col("o_orderkey") % 7).cast("int").alias("e")))), lambda r: r["e"]).alias("x"))
+    x = F.col("x")
+    return lists.select("o_custkey", a.subarray(x, 2, 2).alias("s"), a.idx(x, F.lit(3)).alias("p"), a.minus(x, F.array(F.lit(1), F.lit(3))).alias("m"))

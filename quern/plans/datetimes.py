@@ -77,3 +77,10 @@ portable("dt_value_functions", "SELECT r_regionkey, now() = current_timestamp()
 @query("SELECT o_orderkey, isfinite(o_orderdate) AS a, isfinite(o_totalprice / 2) AS b FROM orders")
 def dt_isfinite(t: Tables):
     return t.orders.select("o_orderkey", d.isfinite(F.col("o_orderdate")).alias("a"), d.isfinite(F.col("o_totalprice") / 2).alias("b"))
+
+
+@query("SELECT n_nationkey, TIMESTAMP '2024-01-15 12:30:01.5' + to_days(CAST(n_nationkey AS INT)) - INTERVAL 330 MINUTE AS a FROM nation WHERE n_nationkey < 16")
+def dt_make_timestamptz(t: Tables):
+    c = F.lit
+    at = d.make_timestamptz(c(2024), c(1), (F.col("n_nationkey") + 15).cast("int"), c(12), c(30), c(1.5), "Asia/Kolkata")
+    return t.nation.where("n_nationkey < 16").select("n_nationkey", at.cast("timestamp_ntz").alias("a"))

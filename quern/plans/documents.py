@@ -117,3 +117,9 @@ def json_insert_scalar(t: Tables):
     doc = F.to_json(F.array(F.col("n_nationkey"), F.col("n_regionkey")))
     edits = {"a": j.insert_path(doc, [1], F.lit("7")), "b": j.insert_path(doc, [1], F.lit("7"), after=True), "c": j.delete_path(doc, [-1]), "d": j.json_scalar(F.col("n_name"))}
     return t.nation.select("n_nationkey", *[e.alias(n) for n, e in edits.items()])
+
+
+@query("SELECT n_nationkey, '<?xml version=\"1.0\" standalone=\"yes\"?><n>' || n_name || '</n>' AS r, '<?sort ' || n_name || '?>' AS p FROM nation")
+def xml_root_pi(t: Tables):
+    doc = F.concat(F.lit('<?xml version="1.1"?>'), x.element("n", F.col("n_name")))
+    return t.nation.select("n_nationkey", x.root(doc, standalone=True).alias("r"), x.pi("sort", F.col("n_name")).alias("p"))

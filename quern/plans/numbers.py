@@ -67,3 +67,10 @@ def num_random(t: Tables):
 def num_nan_grouping(t: Tables):
     rows = t.spark.createDataFrame([(float("nan"),), (float("nan"),), (0.0,), (-0.0,)], "x double")
     return rows.groupBy("x").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(200000 AS BIGINT) AS n, true AS mean, true AS deviation, true AS within")
+def num_normal_rand(t: Tables):
+    """Moments of a seeded sample: the mean within 0.05 of 10, the deviation of 2, 68% within one deviation."""
+    x = m.normal_rand(t.spark, 200_000, 10.0, 2.0, seed=1).agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.stddev("x").alias("s"), F.avg((F.abs(F.col("x") - 10) <= 2).cast("int")).alias("w"))
+    return x.select("n", (F.abs(F.col("m") - 10) < 0.05).alias("mean"), (F.abs(F.col("s") - 2) < 0.05).alias("deviation"), (F.abs(F.col("w") - 0.6827) < 0.01).alias("within"))

@@ -35,3 +35,9 @@ def sort_limit_api(t: Tables):
 @query("SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 20")
 def sort_collation_c(t: Tables):
     return s.top_k(t.part.select("p_partkey", "p_name"), 20, F.collate("p_name", "UTF8_BINARY"), F.col("p_partkey"))
+
+
+@query("SELECT o_orderkey, o_totalprice, CAST(row_number() OVER (ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey) AS BIGINT) AS n FROM orders ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 30")
+def sort_using_operator(t: Tables):
+    top = t.orders.select("o_orderkey", "o_totalprice").orderBy(s.using("o_totalprice", ">"), s.using("o_orderkey", "<")).limit(30)
+    return top.withColumn("n", F.row_number().over(Window.orderBy(s.using("o_totalprice", ">"), s.using("o_orderkey", "<"))).cast("bigint"))

@@ -149,3 +149,18 @@ SELECT n_nationkey, r_regionkey, round(max(v) FILTER (WHERE kind = 'a'), 6) AS a
 def str_word_similarity(t: Tables):
     x, y = F.col("r_name"), F.col("n_name")
     return t.nation.crossJoin(F.broadcast(t.region)).select("n_nationkey", "r_regionkey", F.round(s.word_similarity(x, y), 6).alias("a"), F.round(s.strict_word_similarity(x, y), 6).alias("b"))
+
+
+def _pad(mask: int) -> str:
+    return "from_hex('" + bytes(b ^ mask for b in b"key".ljust(64, b"\0")).hex() + "')"
+
+
+@query(f"SELECT n_nationkey, sha256({_pad(0x5C)} || from_hex(sha256({_pad(0x36)} || encode(n_name)))) AS h FROM nation")
+def str_hmac(t: Tables):
+    return t.nation.select("n_nationkey", s.hmac_sha256(F.col("n_name"), b"key").alias("h"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, true AS version FROM orders")
+def str_random_uuid(t: Tables):
+    """As many uuids as rows, all of version 4."""
+    return t.orders.select(s.random_uuid().alias("u")).agg(F.count_distinct("u").alias("n"), F.bool_and(F.substring("u", 15, 1) == "4").alias("version"))
