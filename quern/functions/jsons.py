@@ -6,20 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def json_table(df: DataFrame, doc: str, columns: dict[str, tuple[str, str, object]], rows: str | None = None, ordinality: str | None = None) -> DataFrame:
+def _read(source: Column, columns: dict[str, tuple[str, str, object]]) -> dict[str, Column]:
+    out = {}
+    for name, (path, kind, default) in columns.items():
+        value = F.get_json_object(source, path).try_cast(kind)
+        out[name] = value if default is None else F.coalesce(value, F.lit(default).cast(kind))
+    return out
+
+
+def json_table(
+    df: DataFrame, doc: str, columns: dict[str, tuple[str, str, object]], rows: str | None = None, ordinality: str | None = None, nested: tuple[str, dict[str, tuple[str, str, object]]] | None = None, nested_ordinality: str | None = None
+) -> DataFrame:
     """JSON_TABLE(doc, rows COLUMNS ...): name to (path, type, default on empty). A value that does not
-    fit its type is null (NULL ON ERROR). rows: the path of an array, a row per element; with ordinality from 1."""
+    fit its type is null (NULL ON ERROR). rows: the path of an array, a row per element; with ordinality from 1.
+    nested: NESTED PATH of an array in each row and its columns, a row per element, one row of nulls where it is
+    empty or missing; nested_ordinality counts from 1 in each row."""
     source = F.col(doc)
     if rows is not None:
         df = df.select("*", F.posexplode(F.from_json(F.get_json_object(doc, rows), "array<string>")).alias("_pos", "_row"))
         source = F.col("_row")
-    out = {}
-    for name, (path, kind, default) in columns.items():
-        value = F.get_json_object(source, path).try_cast(kind)
-        out[name] = value if default is None else F.coalesce(value, F.lit(default).cast(kind))
+    out = _read(source, columns)
     if ordinality:
         out[ordinality] = F.col("_pos").cast("bigint") + 1
-    return df.withColumns(out).drop("_pos", "_row")
+    if nested is None:
+        return df.withColumns(out).drop("_pos", "_row")
+    path, inner = nested
+    df = df.withColumns(out).select("*", F.posexplode_outer(F.from_json(F.get_json_object(source, path), "array<string>")).alias("_pos2", "_row2"))
+    more = _read(F.col("_row2"), inner)
+    if nested_ordinality:
+        more[nested_ordinality] = F.col("_pos2").cast("bigint") + 1
+    return df.withColumns({n: F.when(F.col("_pos2").isNotNull(), c) for n, c in more.items()}).drop("_pos", "_row", "_pos2", "_row2")
 
 
 def get(doc: Column, *path: str | int) -> Column:
@@ -170,6 +186,17 @@ def json_value(doc: Column, path: str, kind: str = "string", on_empty=None) -> C
     return value if on_empty is None else F.coalesce(value, F.lit(on_empty).cast(kind))
 
 
+def json_query(doc: Column, path: str, wrapper: str = "without", on_empty: str | None = None) -> Column:
+    """JSON_QUERY(doc, path ... WRAPPER): the JSON text at the path. wrapper: without (a scalar is an error, so null),
+    conditional (scalars become arrays of one) or unconditional. on_empty: JSON text where nothing is there."""
+    if wrapper not in ("without", "conditional", "unconditional"):
+        raise ValueError(f"wrapper {wrapper}")
+    found = F.to_json(F.try_variant_get(F.try_parse_json(doc), path, "variant"))
+    packed, nested = F.concat(F.lit("["), found, F.lit("]")), F.substring(found, 1, 1).isin("{", "[")
+    out = {"without": F.when(nested, found), "conditional": F.when(nested, found).otherwise(packed), "unconditional": packed}[wrapper]
+    return out if on_empty is None else F.when(found.isNull() & is_json(doc), F.lit(on_empty)).otherwise(out)
+
+
 def json_exists(doc: Column, path: str) -> Column:
     return F.get_json_object(doc, path).isNotNull()
 

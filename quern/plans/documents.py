@@ -123,3 +123,18 @@ def json_insert_scalar(t: Tables):
 def xml_root_pi(t: Tables):
     doc = F.concat(F.lit('<?xml version="1.1"?>'), x.element("n", F.col("n_name")))
     return t.nation.select("n_nationkey", x.root(doc, standalone=True).alias("r"), x.pi("sort", F.col("n_name")).alias("p"))
+
+
+@query("SELECT o_orderkey AS k, CASE WHEN l_linenumber IS NOT NULL THEN row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_quantity) END AS place, l_linenumber AS n, l_quantity AS q FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey")
+def json_table_nested(t: Tables):
+    """JSON_TABLE with a nested path over one document an order; orders without lines keep a row."""
+    items = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q")))).alias("items"))
+    docs = t.orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.to_json(F.struct(F.col("o_orderkey").alias("k"), F.coalesce("items", F.array().cast("array<struct<n:int,q:double>>")).alias("items"))).alias("d"))
+    return j.json_table(docs, "d", {"k": ("$.k", "bigint", None)}, nested=("$.items", {"n": ("$.n", "int", None), "q": ("$.q", "double", None)}), nested_ordinality="place").drop("d")
+
+
+@query("SELECT event_id, CAST(json(props) AS VARCHAR) AS a, NULL::VARCHAR AS b, '[' || json_extract_string(props, '$.k') || ']' AS c, '[' || json(props) || ']' AS d, '[0]' AS e FROM events")
+def json_query_wrapper(t: Tables):
+    doc = F.col("props")
+    found = {"a": j.json_query(doc, "$"), "b": j.json_query(doc, "$.k"), "c": j.json_query(doc, "$.k", "conditional"), "d": j.json_query(doc, "$", "unconditional"), "e": j.json_query(doc, "$.none", on_empty="[0]")}
+    return t.events.select("event_id", *[c.alias(n) for n, c in found.items()])
