@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +24,14 @@ def exclude(df: DataFrame, partition: list[str], order: list[Column], x: str, ki
     """sum, count, avg, min or max of x over ROWS BETWEEN start AND end EXCLUDE kind.
 
     out: new name to function. kind: current_row, group (the row's peers and itself) or ties (peers
-    only). The frame's values are listed with their peer numbers, and those excluded filtered out; a
-    frame without bounds on both sides needs the algebra of sums instead, see exclude_current().
+    only). The values of a frame with two bounds are listed with their peer numbers, and those excluded filtered
+    out; one without a bound holds the current row and is put together from what lies before and behind what is
+    excluded, as running values on the open side, so no list grows with the partition.
     """
     w = Window.partitionBy(*partition).orderBy(*order)
     ranked = df.withColumns({"_peer": F.dense_rank().over(w), "_row": F.row_number().over(w)})
+    if start is None or end is None:
+        return _exclude_open(ranked, partition, x, kind, start, end, out).drop("_peer", "_row")
     low = Window.unboundedPreceding if start is None else start
     high = Window.unboundedFollowing if end is None else end
     frame = F.collect_list(F.struct("_peer", "_row", F.col(x).alias("_x"))).over(w.rowsBetween(low, high))
@@ -39,6 +44,34 @@ def exclude(df: DataFrame, partition: list[str], order: list[Column], x: str, ki
     return held.withColumns({name: known[f] for name, f in out.items()}).drop("_frame", "_peer", "_row")
 
 
+def _side(partition: list[str], x: str, key: str, bound: int | None, before: bool) -> dict[str, Column]:
+    """Sum, count, min and max of x over the rows on one side whose key differs from the current row's."""
+    at = Window.partitionBy(*partition)
+    if bound is None:
+        rows = at.orderBy(F.col(key) if before else F.col(key).desc()).rangeBetween(Window.unboundedPreceding, -1)
+        return {"sum": F.sum(x).over(rows), "count": F.count(x).over(rows), "min": F.min(x).over(rows), "max": F.max(x).over(rows)}
+    if bound == 0:
+        return {"sum": F.lit(None), "count": F.lit(0), "min": F.lit(None), "max": F.lit(None)}
+    rows = at.orderBy("_row").rowsBetween(*((bound, -1) if before else (1, bound)))
+    near = F.filter(F.collect_list(F.struct(F.col(key).alias("k"), F.col(x).alias("x"))).over(rows), lambda r: (r["k"] != F.col(key)) & r["x"].isNotNull())
+    values = F.transform(near, lambda r: r["x"])
+    return {"sum": F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda s, v: s + v)), "count": F.size(values), "min": F.array_min(values), "max": F.array_max(values)}
+
+
+def _exclude_open(ranked: DataFrame, partition: list[str], x: str, kind: str, start: int | None, end: int | None, out: dict[str, str]) -> DataFrame:
+    if (start or 0) > 0 or (end or 0) < 0:
+        raise ValueError("a frame without a bound has to hold the current row")
+    key = "_row" if kind == "current_row" else "_peer"
+    sides = [_side(partition, x, key, start, True), _side(partition, x, key, end, False)]
+    if kind == "ties":
+        one = F.col(x)
+        sides.append({"sum": one, "count": F.when(one.isNotNull(), 1).otherwise(0), "min": one, "max": one})
+    n = reduce(lambda a, b: a + b, [s["count"] for s in sides]).cast("bigint")
+    total = F.when(n > 0, reduce(lambda a, b: a + b, [F.coalesce(s["sum"].cast("double"), F.lit(0.0)) for s in sides]))
+    known = {"sum": total, "count": n, "avg": total / n, "min": F.least(*[s["min"] for s in sides]), "max": F.greatest(*[s["max"] for s in sides])}
+    return ranked.withColumns({name: known[f] for name, f in out.items()})
+
+
 def exclude_current(agg_sum: Column, agg_count: Column, x: Column) -> tuple[Column, Column]:
     """Sum and count over a frame that holds the current row, without it: no list is built, for frames of any size."""
     one = F.when(x.isNotNull(), 1).otherwise(0)

@@ -91,3 +91,16 @@ def win_user_defined(t: Tables):
 
     window = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-4, 0)
     return t.events.select("event_id", F.round(median("value").over(window), 6).alias("m"))
+
+
+@query("""SELECT o_orderkey, round(sum(o_totalprice) OVER a, 3) AS a, min(o_totalprice) OVER b AS b, CAST(count(o_totalprice) OVER b AS BIGINT) AS bn, round(avg(o_totalprice) OVER c, 4) AS c, max(o_totalprice) OVER c AS cm FROM orders WINDOW
+a AS (PARTITION BY o_orderpriority ORDER BY o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), b AS (PARTITION BY o_orderpriority ORDER BY o_custkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING EXCLUDE TIES),
+c AS (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW)""")
+def win_exclude_open_frame(t: Tables):
+    """Frames without a bound, in partitions of a fifth of the table."""
+    rows = t.orders.select("o_orderkey", "o_orderpriority", "o_custkey", "o_totalprice")
+    by, price = ["o_orderpriority"], "o_totalprice"
+    rows = w.exclude(rows, by, [F.col("o_custkey")], price, "group", None, 0, {"a": "sum"})
+    rows = w.exclude(rows, by, [F.col("o_custkey")], price, "ties", 0, None, {"b": "min", "bn": "count"})
+    rows = w.exclude(rows, by, [F.col("o_orderkey")], price, "current_row", None, 2, {"c": "avg", "cm": "max"})
+    return rows.select("o_orderkey", F.round("a", 3).alias("a"), "b", "bn", F.round("c", 4).alias("c"), "cm")

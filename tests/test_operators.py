@@ -308,3 +308,23 @@ def test_word_similarities_of_known_pairs(spark):
     pairs = spark.createDataFrame([("word", "two words"), ("word", None), ("", "x")], "a string, b string")
     got = pairs.select(F.round(s.word_similarity(F.col("a"), F.col("b")), 6), F.round(s.strict_word_similarity(F.col("a"), F.col("b")), 6)).collect()
     assert [tuple(r) for r in got] == [(0.8, 0.571429), (None, None), (0.0, 0.0)]
+
+
+def test_exclude_in_open_frames_against_a_loop(spark):
+    import random
+
+    deal = random.Random(9)
+    given = [(deal.choice(["a", "b"]), deal.randrange(6), i, deal.choice([None, 1.0, 2.5, 4.0])) for i in range(60)]
+    t = spark.createDataFrame(given, "k string, o int, i int, x double")
+    for kind, start, end in (("group", None, 0), ("ties", None, None), ("group", 0, None), ("current_row", None, 2), ("current_row", -3, None)):
+        order = ["i"] if kind == "current_row" else ["o"]
+        got = {r.i: (r.s, r.n, r.m, r.g) for r in windows.exclude(t, ["k"], [F.col(c) for c in order], "x", kind, start, end, {"s": "sum", "n": "count", "m": "min", "g": "max"}).collect()}
+        for k, o, i, x in given:
+            rows_ = sorted((r for r in given if r[0] == k), key=lambda r: r[2] if kind == "current_row" else r[1])
+            mine = rows_.index((k, o, i, x))
+            held = [r for j, r in enumerate(rows_) if (start is None or j >= mine + start or r[1] == o) and (end is None or j <= mine + end or r[1] == o)] if kind != "current_row" else [r for j, r in enumerate(rows_) if (start is None or j >= mine + start) and (end is None or j <= mine + end)]
+            gone = {"group": lambda r: r[1] == o, "ties": lambda r: r[1] == o and r[2] != i, "current_row": lambda r: r[2] == i}[kind]
+            values = [r[3] for r in held if not gone(r) and r[3] is not None]
+            assert got[i] == ((sum(values), len(values), min(values), max(values)) if values else (None, 0, None, None)), (kind, start, end, i)
+    with pytest.raises(ValueError):
+        windows.exclude(t, ["k"], [F.col("o")], "x", "group", None, -1, {"s": "sum"})
