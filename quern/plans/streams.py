@@ -59,7 +59,7 @@ SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY t
 def stream_session_stateful(t: Tables):
     """The same sessions by a stateful stream in complete mode."""
     stream = events.session(_stream(t), "ts", "6 hours", ["user_id"], delay="30 days", n=F.count("*"))
-    return events.run_to_table(stream, f"quern_{uuid.uuid4().hex}", "complete").select("user_id", *_ntz("start", "end"), "n")
+    return events.run_to_files(stream, files.new_path(t.spark, "sessions")).select("user_id", *_ntz("start", "end"), "n")
 
 
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1")

@@ -75,3 +75,17 @@ def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str | None
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
     (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start().awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_files(stream: DataFrame, path: str) -> DataFrame:
+    """Runs a stream of whole results (complete mode) over what is there now and returns the last one. Progress, state and
+    result lie below path, which driver and executors share; each micro-batch replaces the result, and no row comes to the driver."""
+    ran: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/result")
+        ran.append(number)
+
+    stream.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+    reader = stream.sparkSession.read.schema(stream.schema)
+    return reader.parquet(f"{path}/result") if ran else stream.sparkSession.createDataFrame([], stream.schema)

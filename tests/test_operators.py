@@ -328,3 +328,19 @@ def test_exclude_in_open_frames_against_a_loop(spark):
             assert got[i] == ((sum(values), len(values), min(values), max(values)) if values else (None, 0, None, None)), (kind, start, end, i)
     with pytest.raises(ValueError):
         windows.exclude(t, ["k"], [F.col("o")], "x", "group", None, -1, {"s": "sum"})
+
+
+def test_whole_results_of_streams_stay_in_shared_files(spark, tmp_path):
+    """A result that is read from files was not gathered on the driver; a stream of no files has no rows."""
+    from quern.streaming import events
+
+    assert catalog.queries()["stream_session_stateful"](spark, "/root/testdata/sf0.001").inputFiles()
+    given = [(k, 3600 * h) for k in (1, 2) for h in (0, 1, 2, 9, 10, 30)] + [(None, 5)]
+    whole = spark.createDataFrame(given, "k int, s int").select("k", F.timestamp_seconds("s").cast("timestamp_ntz").alias("t"))
+    for name, df in (("some", whole.repartition(5)), ("none", None)):
+        path = tmp_path / name
+        df.write.parquet(str(path)) if df is not None else path.mkdir()
+        stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+        make = lambda x: events.session(x, "t", "3 hours", ["k"], delay="30 days", n=F.count("*"))
+        got = events.run_to_files(make(stream), str(tmp_path / f"{name}-out"))
+        assert rows(got) == (rows(make(df)) if df is not None else []) and got.columns == ["start", "end", "k", "n"]
