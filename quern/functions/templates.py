@@ -21,8 +21,11 @@ def to_date(s: Column, template: str) -> Column:
 
 
 def from_epoch(seconds: Column) -> Column:
-    """to_timestamp(seconds since 1970), to the microsecond, in UTC without time zone."""
-    return F.timestamp_micros(F.round(seconds.cast("double") * 1e6).cast("bigint")).cast("timestamp_ntz")
+    """to_timestamp(seconds since 1970), to the microsecond, in UTC without time zone. Whole seconds are counted as integers:
+    a double holds no microseconds beyond 2^53 of them."""
+    part = seconds.cast("double") % F.lit(1.0)
+    micros = (seconds.cast("double") - part).cast("bigint") * F.lit(1_000_000) + F.round(part * 1e6).cast("bigint")
+    return F.timestamp_micros(micros).cast("timestamp_ntz")
 
 
 def _let(value: Column, use) -> Column:

@@ -344,3 +344,15 @@ def test_whole_results_of_streams_stay_in_shared_files(spark, tmp_path):
         make = lambda x: events.session(x, "t", "3 hours", ["k"], delay="30 days", n=F.count("*"))
         got = events.run_to_files(make(stream), str(tmp_path / f"{name}-out"))
         assert rows(got) == (rows(make(df)) if df is not None else []) and got.columns == ["start", "end", "k", "n"]
+
+
+def test_epochs_far_from_1970_keep_their_microseconds(spark):
+    from quern.functions import templates
+
+    given = [3335981 * 86400.5, -3335981 * 86400.5, 5999999 * 86400.5, 86400.5, -0.25, -0.0, 1.000001, -1.9999996, None]
+    want = [3335981 * 86_400_500_000, -3335981 * 86_400_500_000, 5999999 * 86_400_500_000, 86400500000, -250000, 0, 1000001, -2000000, None]
+    df = spark.createDataFrame(list(enumerate(given)), "i int, x double").select("i", F.unix_micros(templates.from_epoch(F.col("x")).cast("timestamp")).alias("u"))
+    assert [r.u for r in df.orderBy("i").collect()] == want
+    for odd in ("nan", "inf", "-inf", "1e15"):
+        with pytest.raises(Exception, match="OVERFLOW"):
+            spark.createDataFrame([(float(odd),)], "x double").select(templates.from_epoch(F.col("x"))).collect()
