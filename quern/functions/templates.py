@@ -36,7 +36,8 @@ def _let(value: Column, use) -> Column:
 def number_to_char(x: Column, template: str) -> Column:
     """to_char(number, template) with 9 0 , . FM MI PR: rounded half away from zero, as wide as the template and a
     sign; null of null. The sign stands before the first digit, after the number (MI) or as angle brackets (PR). A number
-    that has more digits than the template shows # in their place. FM drops the padding, and zeros at the end that 9 stands for."""
+    that has more digits than the template shows # in their place. FM drops the padding, and zeros at the end that 9 stands for.
+    A double keeps its sign when it rounds to zero, and negative zero has one; a zero of another type has none."""
     fill, minus, brackets = (word in template for word in ("FM", "MI", "PR"))
     body = re.sub("FM|MI|PR", "", template)
     if not body or re.search("[^90,.]", body) or body.count(".") > 1:
@@ -71,11 +72,12 @@ def number_to_char(x: Column, template: str) -> Column:
         return F.concat(number, F.lit("."), tail)
 
     def signed(value: Column, number: Column) -> Column:
+        below = F.when(F.typeof(x).isin("double", "float"), F.startswith(x.cast("string"), F.lit("-"))).otherwise(value < 0)
         if brackets:
-            return F.when(value < 0, F.concat(F.lit("<"), number, F.lit(">"))).otherwise(F.concat(F.lit(" "), number, F.lit(" ")))
+            return F.when(below, F.concat(F.lit("<"), number, F.lit(">"))).otherwise(F.concat(F.lit(" "), number, F.lit(" ")))
         if minus:
-            return F.concat(number, F.when(value < 0, "-").otherwise(" "))
-        return F.concat(F.when(value < 0, "-").otherwise(" "), number)
+            return F.concat(number, F.when(below, "-").otherwise(" "))
+        return F.concat(F.when(below, "-").otherwise(" "), number)
 
     def text(value: Column, digits: Column, front: Column) -> Column:
         shown = _let(separated(F.lpad(front, max(len(slots), 1), " ")), lambda n: joined(value, digits, n))

@@ -356,3 +356,18 @@ def test_epochs_far_from_1970_keep_their_microseconds(spark):
     for odd in ("nan", "inf", "-inf", "1e15"):
         with pytest.raises(Exception, match="OVERFLOW"):
             spark.createDataFrame([(float(odd),)], "x double").select(templates.from_epoch(F.col("x"))).collect()
+
+
+def test_numbers_by_template_that_round_to_zero(spark, tmp_path):
+    """The query against its SQL over numbers around zero, and the sign by type."""
+    import duckdb
+
+    from quern.functions import templates
+
+    odd = [-0.29, -0.5, -0.49, -0.01, -0.0, 0.0, 0.01, 0.49, 0.5, -1.5, 2.5, -0.99, -0.004, -999.99, 9999.99, None]
+    spark.createDataFrame(list(enumerate(odd)), "c_custkey bigint, c_acctbal double").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    got = rows(catalog.queries()["str_to_char_numbers"](spark, str(tmp_path)))
+    sql = catalog.oracle_sql()["str_to_char_numbers"].replace("FROM customer", f"FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert got == sorted(duckdb.sql(sql).fetchall(), key=repr)
+    small = spark.createDataFrame([(-0.3,)], "x double").select(*[templates.number_to_char(F.col("x").cast(kind), "9MI") for kind in ("double", "float", "decimal(5,2)")])
+    assert tuple(small.first()) == ("0-", "0-", "0 ")
