@@ -371,3 +371,17 @@ def test_numbers_by_template_that_round_to_zero(spark, tmp_path):
     assert got == sorted(duckdb.sql(sql).fetchall(), key=repr)
     small = spark.createDataFrame([(-0.3,)], "x double").select(*[templates.number_to_char(F.col("x").cast(kind), "9MI") for kind in ("double", "float", "decimal(5,2)")])
     assert tuple(small.first()) == ("0-", "0-", "0 ")
+
+
+def test_exclude_current_row_with_equal_order_keys(spark, tmp_path):
+    """From part key 100,000 on the SQL's order repeats: one result however the rows come, that of part keys in order."""
+    import duckdb
+
+    parts = [(key + 100_000 * far, "b", 20 - far, float(2**far * (key + 1))) for key in range(8) for far in range(12)]
+    sql = catalog.oracle_sql()["win_exclude_current_row"]
+    total = sql.replace("p_size * 100000 + p_partkey ROWS", "p_size * 100000 + p_partkey, p_partkey ROWS")
+    assert total != sql
+    for name, given in (("up", parts), ("down", parts[::-1])):
+        spark.createDataFrame(given, "p_partkey bigint, p_brand string, p_size int, p_retailprice double").coalesce(1).write.parquet(str(tmp_path / name / "part.parquet"))
+        got = rows(catalog.queries()["win_exclude_current_row"](spark, str(tmp_path / name)))
+        assert got == sorted(duckdb.sql(total.replace("FROM part", f"FROM '{tmp_path}/{name}/part.parquet/*.parquet'")).fetchall(), key=repr)
